@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, neardup, packing, quality, tokenfiles
+from . import chat, linededup, neardup, packing, quality, tokenfiles
 from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = chat.conversations(table(spark, sf_dir, "conversations"))
+    told = lambda name: F.array_join(F.transform(name, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",").alias(name)
+    return chat.preference_pairs(chat.contrast_pairs(convs)).select("conv_id", "prefix_turns", "prompt", "chosen_text", "rejected_text", told("chosen_mask"), told("rejected_mask"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -52,4 +58,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle_sql(), "op8_line_dedup": linededup.oracle_sql()}
+    return {"op1_quality_rules": quality.oracle_sql(), "op5_chat_formatting": chat.oracle_sql(), "op8_line_dedup": linededup.oracle_sql()}
