@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, neardup, packing, quality, tokenfiles
+from . import chat, linededup, neardup, packing, pii, quality, tokenfiles
 from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,13 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.contrast_pairs(convs)).select("conv_id", "prefix_turns", "prompt", "chosen_text", "rejected_text", told("chosen_mask"), told("rejected_mask"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of(kind) for kind in pii.BASE]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
