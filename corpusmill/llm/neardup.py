@@ -6,10 +6,11 @@ coordinate k of a document is the least table entry at (place + k). 32 bands of
 0.8 collide in no band with probability 5e-8.
 
 Skew. Documents with equal shingle sets collapse into one class first. In each bucket every class is compared with the
-bucket's least class (a star, not all pairs); after the components of those verified links are known, only pairs of
-one bucket that still lie in different components are compared, so a large group of mutual near copies costs links in
-proportion to its size. A pair at 0.8 or more shares 13 bands on average and fewer than two with probability 1e-6, so the
-second pass wants two shared bands. Every link is confirmed on full shingle sets.
+bucket's least class (a star, not all pairs). After the components of those verified links are known, only classes of one
+bucket that still lie in different components are compared: pair by pair in buckets of at most SMALL classes, so that a class
+has a bounded number of pairs a bucket; in larger buckets, put together by the component that has most of their classes, in
+blocks of BLOCK classes by BLOCK, which count common shingles by matrix products and return links only, a spanning forest of
+them at most. Every link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix64, slices
 
 BANDS, ROWS, UNIVERSE_BITS, SEED = 32, 4, 20, 1
+SMALL, BLOCK = 32, 128
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -86,13 +88,19 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
     return docs.mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Those of pairs (x, y) whose full shingle sets have 100 * intersection >= percent * union."""
+def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingles): the sorted hashes of those documents, as little-endian unsigned 64-bit integers."""
 
     def sets(batches):
         for batch in (b for whole in batches for b in slices(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "shingles"])
 
+    return docs.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (x, y) whose full shingle sets have 100 * intersection >= percent * union."""
+
     def confirm(batches):
         for batch in (b for whole in batches for b in slices(whole)):
             keep = []
@@ -103,12 +111,67 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scrat
                 keep.append(100 * same >= percent * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    held = scratch.keep(docs.join(ids, "id", "left_semi").mapInArrow(sets, "id long, shingles binary"))
-    both = pairs.join(held.toDF("x", "sx"), "x").join(held.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
-    out = scratch.keep(both.mapInArrow(confirm, "x long, y long"))
-    scratch.drop(held)
-    return out
+    both = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
+    return both.mapInArrow(confirm, "x long, y long")
+
+
+def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between rows of different labels. Only a row of `left` with one of `right` counts, if the two differ."""
+    left, right = [r for r in rows if r["left"]], [r for r in rows if r["right"]]
+    if not left or not right:
+        return []
+    sets = [np.frombuffer(r["shingles"], np.uint64) for r in left + right]
+    size = np.array([len(s) for s in sets])
+    tokens, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    place = np.cumsum(often > 1) - 1
+    shared = often[at] > 1
+    owner, place = owner[shared], place[at][shared]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, int((often > 1).sum()), 8192):
+        part = (place >= lo) & (place < lo + 8192)
+        has = np.zeros((len(sets), 8192), np.float32)
+        has[owner[part], place[part] - lo] = 1
+        common += has[: len(left)] @ has[len(left) :].T
+    a, b = size[: len(left), None], size[None, len(left) :]
+    hit = 100 * common.astype(np.int64) >= percent * (a + b - common.astype(np.int64))
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        x, y = left[i], right[j]
+        if x["label"] != y["label"] and (p := root(x["label"])) != (q := root(y["label"])):
+            up[p] = q
+            links.append((x["rep"], y["rep"]))
+    return links
+
+
+def _across_blocks(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) between classes of different components that share a large bucket. named: (key, rep, label), mixed large buckets only."""
+
+    def link(table):
+        found = _block_links(table.to_pylist(), percent)
+        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["x", "y"])
+
+    counts = named.groupBy("key", "label").count()
+    most = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("dom"))
+    rows = named.join(most, "key").groupBy("dom", "rep").agg(F.any_value("label").alias("label"))
+    rows = rows.withColumn("own", F.col("dom") == F.col("label"))
+    blocks = rows.groupBy("dom").agg(*[F.ceil(F.count_if(x) / BLOCK).cast("int").alias(n) for n, x in (("na", F.col("own")), ("no", ~F.col("own")))])
+    rows = rows.join(blocks, "dom").where("no > 0").withColumn("i", F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("na")).otherwise(F.col("no"))).cast("int"))
+    spot = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("bi"), j.alias("bj"), left.alias("left"), right.alias("right"))
+    yes, no, i = F.lit(True), F.lit(False), F.col("i")
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    of_own = F.transform(upto("no"), lambda j: spot(0, j, i, no, yes))
+    of_other = F.concat(F.transform(upto("na"), lambda j: spot(0, i, j, yes, no)), F.transform(upto("no"), lambda j: spot(1, F.least(i, j), F.greatest(i, j), i <= j, j <= i)))
+    spread = rows.select("dom", "rep", "label", F.explode(F.when(F.col("own"), of_own).otherwise(of_other)).alias("at")).select("dom", "rep", "label", "at.*")
+    full = spread.join(sets.withColumnRenamed("id", "rep"), "rep")
+    return full.groupBy("dom", "kind", "bi", "bj").applyInArrow(link, "x long, y long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -151,22 +214,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     members = scratch.keep(bands.join(shared, "key").select("key", "rep", "n", "lead", "lead_n"))
     fits = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     stars = scratch.keep(members.where((F.col("rep") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("rep").alias("x"), F.col("lead").alias("y")).distinct())
-    links = _verified(stars, docs, width, percent, scratch)
+    sets = scratch.keep(_shingle_sets(docs, members.select(F.col("rep").alias("id")).distinct(), width))
+    links = scratch.keep(_verified(stars, sets, percent))
     labels = components(links, scratch)
 
-    named = members.join(labels, members.rep == labels.node, "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    named = scratch.keep(named)
-    mixed = scratch.keep(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"))
+    named = scratch.keep(members.join(labels, members.rep == labels.node, "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")))
+    mixed = scratch.keep(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("classes")).where("lo < hi").select("key", "classes"))
     left = scratch.keep(named.join(mixed, "key"))
-    a, b = left.alias("a"), left.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y"))
-    across = across.groupBy("x", "y").count().where("count >= 2").select("x", "y")
-    across = scratch.keep(across.join(stars.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti"))
-    scratch.drop(members, named, mixed, left, shared)
-    if across.limit(1).count():
-        more = _verified(across, docs, width, percent, scratch)
-        if more.limit(1).count():
-            labels = components(links.union(more), scratch)
+    a, b = (left.where(F.col("classes") <= SMALL).alias(k) for k in "ab")
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()
+    more = scratch.keep(_verified(across, sets, percent).union(_across_blocks(left.where(F.col("classes") > SMALL), sets, percent)))
+    if more.limit(1).count():
+        labels = components(links.union(more), scratch)
+    scratch.drop(members, named, mixed, left, shared, sets, stars)
 
     found = classes.join(labels, classes.rep == labels.node, "left").select("h1", "h2", F.col("n_shingles").alias("n"), "copies", "rep", F.coalesce("label", "rep").alias("label"))
     # Only classes of several rows, or linked with a lower one, differ from "its own component".
