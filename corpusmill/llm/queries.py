@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, linededup, neardup, packing, pii, quality, tokenfiles
+from . import chat, decontam, langid, linededup, neardup, packing, pii, quality, tokenfiles
 from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *columns)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = langid.train(docs.where("not held_out and doc_id is not null"), F.col("text"), F.col("lang"), F.col("doc_id"))
+    return langid.predict(docs, model, ["doc_id", "held_out"])
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "tokens").path()
     tokenfiles.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
@@ -60,6 +67,10 @@ def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
