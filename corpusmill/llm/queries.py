@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, linededup, neardup, packing, pii, quality, tokenfiles
+from . import chat, decontam, langid, licenses, linededup, neardup, packing, pii, quality, tokenfiles
 from .common import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,11 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.contrast_pairs(convs)).select("conv_id", "prefix_turns", "prompt", "chosen_text", "rejected_text", told("chosen_mask"), told("rejected_mask"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"), m["percent"].cast("string")))
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_matches", "licenses", F.array_join(told, ",").alias("matches"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"), ["doc_id"])
     of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
