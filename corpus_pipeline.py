@@ -1,12 +1,67 @@
-"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-duplicate removal, benchmark decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Parquet and read again as the next one's docs. All but the
+last return the columns of `documents`. Rows with a null doc_id pass every stage on their own merit: no near-duplicate link reaches them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.llm import decontam, linededup, neardup, packing, quality
+from corpusmill.llm.common import Scratch, table
+from corpusmill.llm.queries import tokenizer_path
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a rule rejects go."""
+    return quality.quality(docs).where("quality.kept").select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines on too many documents of their source go; n_chars follows the text."""
+    new = linededup.drop_boilerplate(docs)
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.length("text").cast("long"))
+    return new.select(*docs.columns)
+
+
+def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least id stays, once if its rows repeat."""
+    found = neardup.near_duplicates(docs, width=5, percent=80)
+    gone = found.where("not kept").select("doc_id").distinct()
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null")) if repeated else kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 ids, a row for each piece of a document."""
+    return packing.pack(docs, tokenizer_path(), end_id=0)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("minhash_neardup", minhash_neardup),
+    ("decontamination", decontamination),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Near-duplicate components and byte-level BPE have no SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the whole of `documents`."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
