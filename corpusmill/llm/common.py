@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
@@ -77,3 +78,13 @@ def slices(batch, rows: int = 256) -> Iterator:
     """An Arrow batch in pieces of bounded row count."""
     for k in range(0, batch.num_rows, rows):
         yield batch.slice(k, rows)
+
+
+def sized_slices(batch, column: int, size: int = 4 << 20) -> Iterator:
+    """An Arrow batch in pieces whose texts in `column` have about `size` bytes at most, or a single row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    k = 0
+    while k < batch.num_rows:
+        n = max(1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + size, "right")) - k)
+        yield batch.slice(k, n)
+        k += n

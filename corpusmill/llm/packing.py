@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices
+from .common import Scratch, sized_slices
 from .tokens import encoder
 
 FIELDS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -101,9 +101,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024, windo
     def run(batches):
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
         packed = Windows(part << 32, length, windows, max_pad)
-        for batch in (b for whole in batches for b in slices(whole)):
-            for doc, raw in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids = np.append(np.frombuffer(raw, encode.dtype), encode.dtype.type(end_id))
+        for batch in (b for whole in batches for b in sized_slices(whole, 1)):
+            for doc, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = np.append(found, encode.dtype.type(end_id))
                 packed.add(doc, 0, ids, len(ids))
             if packed.rows:
                 yield packed.taken()

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import sized_slices, slices
 from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 20
@@ -27,11 +27,12 @@ SCHEMA = "part int, start long, tokens long, doc_ids array<long>, n_tokens array
 
 def compress(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """(ranked, control, data) of ids."""
-    distinct, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-counts, kind="stable")
-    rank_of = np.empty(len(order), np.uint32)
-    rank_of[order] = np.arange(len(order), dtype=np.uint32)
-    ranks = rank_of[place.ravel()]
+    counts = np.bincount(ids, minlength=1)
+    distinct = np.flatnonzero(counts)
+    order = np.argsort(-counts[distinct], kind="stable")
+    rank_of = np.zeros(len(counts), np.uint32)
+    rank_of[distinct[order]] = np.arange(len(order), dtype=np.uint32)
+    ranks = rank_of[ids]
     size = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
     padded = np.zeros(-(-len(size) // 4) * 4, np.uint8)
     padded[: len(size)] = size
@@ -71,9 +72,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
         fields = ["part", "start", "tokens", "doc_ids", "n_tokens", "ranked", "control", "data"]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 3]
-        for batch in (b for whole in batches for b in slices(whole)):
-            for name, raw in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
-                ids.append(np.append(np.frombuffer(raw, encode.dtype), encode.dtype.type(end_id)))
+        for batch in (b for whole in batches for b in sized_slices(whole, 1)):
+            for name, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids.append(np.append(found, encode.dtype.type(end_id)))
                 names.append(name)
                 held += len(ids[-1])
                 if held >= BLOCK_TOKENS:

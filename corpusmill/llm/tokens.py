@@ -1,23 +1,31 @@
 """Byte-level BPE encoding of whole texts with a per-worker cache of words.
 
 Byte-level BPE never joins a space to the non-space before it, so a text may be cut before any space that follows a
-non-space, or that precedes a non-space; the parts' ids, put together, are the text's ids. Texts with a space between
-two white-space characters, or between one and the end, are encoded whole.
+non-space, or that precedes a non-space; likewise between a letter and a mark that white space follows, and around a line break between
+non-spaces. The parts' ids, put together, are the text's ids. Texts with a space between two white-space characters, or between one and the
+end, are encoded whole. Parts without a space before them carry the mark BARE; texts that hold that character are encoded whole too.
 """
 
 from __future__ import annotations
 
 import re
 import sys
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
+BARE = "\x01"
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")  # letters in every Unicode version
+_SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
+WHOLE = rf"{_SPACE} (?:{_SPACE}|\z)|\x01"
+MARKED = r"([A-Za-zÀ-ÖØ-öø-ɏ])([.,!?;:])([ \n]|\z)"
+BROKEN = r"([^\s\p{Z}\x{85}\x{1c}-\x{1f}])\n([^\s\p{Z}\x{85}\x{1c}-\x{1f}])"
 
 
 class Encoder:
-    """texts -> ids as little-endian unsigned integers of `dtype`, without special tokens."""
+    """texts -> ids of `dtype`, without special tokens."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -28,39 +36,94 @@ class Encoder:
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.starts = np.array([(t.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
         self.by_word = t.normalizer is None and "ByteLevel(add_prefix_space=False" in str(t.pre_tokenizer) and "use_regex=True" in str(t.pre_tokenizer)
-        self.inner_space = re.compile(r"\s (?:\s|\Z)")
         self.words: dict[str, bytes] = {}
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.by_word:
+            self.letters = self.for_letters(path)
+            self.line_break = t.encode("\n", add_special_tokens=False).ids
 
-    def learn(self, new: list[str]) -> None:
-        """Caches the ids of " " + word. Words go through the tokenizer in long lines; each begins with the one token that has a space."""
-        odd = [w for w in new if w.split() != [w]]
-        self.words.update(zip(odd, self.plain([f" {w}" for w in odd]), strict=True))
-        clean = [w for w in new if w not in self.words] if odd else new
-        lines = [clean[k : k + 512] for k in range(0, len(clean), 512)]
-        for line, raw in zip(lines, self.plain([" " + " ".join(x) for x in lines]), strict=True):
-            at = np.flatnonzero(self.starts[np.frombuffer(raw, self.dtype)])
+    @staticmethod
+    def for_letters(path: str):
+        """The same tokenizer for words of letters alone: it cuts before spaces only, and caches no words itself."""
+        import json
+
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        options = {k: model[k] for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)}
+        t = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **options))
+        t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return t
+
+    def plain(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def in_lines(self, words: list[str], tokenizer, by: str = " ") -> None:
+        """Caches words without white space; they go through the tokenizer in long lines, and the token that begins with `by` tells them apart."""
+        lines = [words[k : k + 512] for k in range(0, len(words), 512)]
+        for line, raw in zip(lines, self.plain([by + by.join(w.removeprefix(BARE) for w in x) if by != " " else " " + " ".join(x) for x in lines], tokenizer), strict=True):
+            ids = np.frombuffer(raw, self.dtype)
+            at = np.flatnonzero(self.starts[ids] if by == " " else ids == self.line_break[0])
             if len(at) != len(line):
-                self.words.update(zip(line, self.plain([f" {w}" for w in line]), strict=True))
+                self.alone(line)
                 continue
-            ends = [*(at * self.dtype.itemsize).tolist(), len(raw)]
-            self.words.update((w, raw[i:j]) for w, i, j in zip(line, ends, ends[1:], strict=False))
+            begin = at + (by != " ")
+            ends = [*at[1:].tolist(), len(ids)]
+            size = self.dtype.itemsize
+            self.words.update((w, raw[i * size : j * size]) for w, i, j in zip(line, begin.tolist(), ends, strict=True))
+
+    def alone(self, words: list[str]) -> None:
+        self.words.update(zip(words, self.plain([w[1:] if w[:1] == BARE else f" {w}" for w in words]), strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        """Caches the ids of " " + word, or of a BARE word without that mark."""
+        letters, bare, others, odd = [], [], [], []
+        for w in new:
+            if LATIN.fullmatch(w):
+                letters.append(w)
+            elif w[:1] == BARE:
+                (bare if len(self.line_break) == 1 and LATIN.fullmatch(w, 1) else odd).append(w)
+            else:
+                (others if w.split() == [w] else odd).append(w)
+        self.in_lines(letters, self.letters)
+        self.in_lines(bare, self.tokenizer, "\n")
+        self.in_lines(others, self.tokenizer)
+        self.alone(odd)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text; null is an empty text. Words are told apart in Arrow, so that Python sees each of a batch's words once."""
+        texts = pc.fill_null(texts, "")
         if not self.by_word:
-            return self.plain(texts)
-        whole = [k for k, x in enumerate(texts) if self.inner_space.search(x)]
-        aside = set(whole)
-        parts = [[] if k in aside else x.split(" ") for k, x in enumerate(texts)]
+            return [np.frombuffer(x, self.dtype) for x in self.plain(texts.to_pylist())]
+        aside = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, WHOLE)))
+        whole = dict(zip(aside.tolist(), self.plain(texts.take(pa.array(aside)).to_pylist()), strict=True))
+        if whole:
+            texts = pa.array(["" if k in whole else x for k, x in enumerate(texts.to_pylist())], texts.type)
+        texts = pc.replace_substring_regex(texts, MARKED, rf"\1 {BARE}\2\3")
+        texts = pc.replace_substring_regex(texts, BROKEN, f"\\1 {BARE}\n {BARE}\\2")
+        # A text's first word has no space before it either.
+        parts = pc.split_pattern(pc.binary_join_element_wise(BARE, texts, ""), " ")
+        coded = parts.flatten().dictionary_encode()
+        place = np.asarray(coded.indices)
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
-        self.learn(list(set(chain.from_iterable(p[1:] for p in parts)).difference(self.words)))
-        heads = self.plain([p[0] if p else "" for p in parts])
-        out = [h + b"".join(map(self.words.__getitem__, p[1:])) for h, p in zip(heads, parts, strict=True)]
-        for k, raw in zip(whole, self.plain([texts[k] for k in whole]), strict=True):
-            out[k] = raw
+        values = list(map(self.words.get, words))
+        if new := [k for k, v in enumerate(values) if v is None]:
+            self.learn([words[k] for k in new])
+            for k in new:
+                values[k] = self.words[words[k]]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        pool, begin = np.frombuffer(b"".join(values), self.dtype), np.cumsum(size) - size
+        length = size[place]
+        ends = np.cumsum(length)
+        ids = pool[np.repeat(begin[place] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)]
+        first = np.asarray(parts.offsets)[:-1] - parts.offsets[0].as_py()
+        out = np.split(ids, (ends - length)[first][1:])
+        for k, raw in whole.items():
+            out[k] = np.frombuffer(raw, self.dtype)
         return out
 
 
