@@ -10,28 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontam, linededup, neardup, packing, quality
-from corpusmill.llm.common import Scratch, table
+from corpusmill.llm.common import Scratch, quoted, table
 from corpusmill.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    return quality.quality(docs).where("quality.kept").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines on too many documents of their source go; n_chars follows the text."""
-    new = linededup.drop_boilerplate(docs)
-    if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.length("text").cast("long"))
-    return new.select(*docs.columns)
+    new = linededup.drop_boilerplate(docs, counts=None)
+    return new.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else new
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id stays, once if its rows repeat."""
     found = neardup.near_duplicates(docs, width=5, percent=80)
     gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*quoted(docs.columns))
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null")) if repeated else kept
 

@@ -60,6 +60,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names that may hold dots, for select()."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

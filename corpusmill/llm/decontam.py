@@ -143,7 +143,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_ch
 
 def drop_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_chars: int = MIN_CHARS, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, in which no item is found. Null texts stay."""
-    spark, at = docs.sparkSession, docs.columns.index(text_col)
+    spark, at, names = docs.sparkSession, docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*[f"c{k}" for k in range(len(names))])
     for block in _blocks(items, item_col, text_col):
         key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
 
@@ -153,4 +154,4 @@ def drop_leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, min_ch
                 yield batch.filter(pa.array([next(match.leaks(t), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
-from .common import slices
+from .common import quoted, slices
 
 NS, HASH_BITS, CHUNK = (1, 2, 3, 4), 22, 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
@@ -120,7 +121,7 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: st
 
     One row out for each row in, whole texts however long. carry may be any columns but lang_pred and score.
     """
-    rows = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*quoted(carry), F.col(f"`{text_col}`").cast("string").alias("__text"))
     key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.codes, model.weights))
 
     def run(batches):
@@ -139,7 +140,9 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: st
                 e = np.exp(4 * (s - s.max(axis=1, keepdims=True)))
                 for i, k, p in zip(known, s.argmax(axis=1), (e / e.sum(axis=1, keepdims=True)).max(axis=1), strict=True):
                     lang[i], score[i] = model.languages[k], p
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [f"c{k}" for k in range(len(carry) + 2)])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carry).schema)
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    kinds = T.StructType([*rows.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    plain = rows.toDF(*[f"c{k}" for k in range(len(kinds) - 1)])
+    made = T.StructType([T.StructField(f"c{k}", f.dataType) for k, f in enumerate(kinds)])
+    return plain.mapInArrow(run, made).toDF(*kinds.names)

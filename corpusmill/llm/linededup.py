@@ -34,8 +34,8 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, percent: int = 8,
     return counts.join(totals, "host").where(100 * F.col("pages") > percent * F.col("total")).select("host", "line", "pages", "total")
 
 
-def drop_boilerplate(docs: DataFrame, percent: int = 8, min_pages: int = 5, host_col: str = "source", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
-    """The input with text_col rewritten and two more columns, n_lines and n_dropped (long).
+def drop_boilerplate(docs: DataFrame, percent: int = 8, min_pages: int = 5, host_col: str = "source", text_col: str = "text", broadcast_rows: int = 200_000, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """The input with text_col rewritten and two more columns (long), named by `counts` (None: not added): lines, and lines dropped. They replace columns of those names.
 
     A page counts once for a line however often it holds it. Lines are those between newlines; lines without a word stay.
     Each row is a page, repeated rows included. Null texts stay null with zero lines; rows with a null host are left as they are.
@@ -61,7 +61,10 @@ def drop_boilerplate(docs: DataFrame, percent: int = 8, min_pages: int = 5, host
 
     whole = F.struct(text.alias("text"), F.size(_lines(text)).cast("long").alias("n"), F.lit(0).cast("long").alias("dropped"))
     out = joined.withColumn("__new", F.when(text.isNull(), F.lit(None)).when(drop.isNull(), whole).otherwise(let(_lines(text), rewrite)))
-    out = out.withColumn(text_col, F.col("__new")["text"]).withColumn("n_lines", F.coalesce(F.col("__new")["n"], F.lit(0))).withColumn("n_dropped", F.coalesce(F.col("__new")["dropped"], F.lit(0)))
+    new = {text_col: F.col("__new")["text"]}
+    if counts:
+        new |= {name: F.coalesce(F.col("__new")[k], F.lit(0)) for name, k in zip(counts, ("n", "dropped"), strict=True)}
+    out = out.withColumns(new)
     return out.drop("__h", "__s", "__salt", "__host", "__drop", "__new")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from .common import Scratch, let
+from .common import Scratch, let, quoted
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "name")
@@ -211,9 +211,11 @@ def find_spans(docs: DataFrame, carry: list[str], text_col: str = "text") -> Dat
     A null text counts as empty and has no spans. One row out for each row in; repeated rows get the same spans. With no candidate in the
     whole table nothing is fitted and spans equal base.
     """
+    if {"base", "spans"} & set(carry):
+        raise ValueError("base and spans are names of results")
     scratch = Scratch(docs.sparkSession, "pii")
     text = F.coalesce(F.col("__text"), F.lit(""))
-    rows = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*quoted(carry), F.col(text_col).cast("string").alias("__text"))
     rows = rows.withColumn("base", base_spans(text)).withColumn("__candidates", let(F.col("base"), lambda b: candidates(text, b)))
     held = scratch.keep(rows.drop("__text"))
     each = held.where(F.size("__candidates") > 0).select(F.explode("__candidates").alias("c"))
@@ -222,7 +224,7 @@ def find_spans(docs: DataFrame, carry: list[str], text_col: str = "text") -> Dat
     if patterns:
         weights = fit(sorted(patterns, key=str))["weights"]
         added = F.transform(F.filter("__candidates", lambda c: _chosen(c, weights)), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return held.select(*carry, "base", F.concat("base", added).alias("spans"))
+    return held.select(*quoted(carry), "base", F.concat("base", added).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
