@@ -1,6 +1,7 @@
 """Text functions as column expressions; the plain-Python forms that executors need sit beside them.
 
-White space is what Python's str.isspace() accepts, in every function here.
+Stripping, blank texts and splitting at white space mean what str.isspace() accepts (SPACE); between words and in simplified texts white
+space is the Unicode property (WHITE), which lacks the four separators 1C to 1F.
 """
 
 from __future__ import annotations
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WHITE = SPACE.replace(r"\x1C-\x20", r"\x20")
 _WORD = r"\p{L}\p{M}\p{N}_"
-WORDS = rf"[{_WORD}]+(?:['’][{_WORD}]+)*|[^{_WORD}{SPACE}]"
+WORDS = rf"[{_WORD}]+(?:['’][{_WORD}]+)*|[^{_WORD}{WHITE}]"
 #: ASCII punctuation and the marks of other scripts that count as symbols.
 MARKS = string.punctuation + "".join(map(chr, (
     0x2026, 0x2014, 0x2013, 0x201C, 0x201D, 0x2018, 0x2019, 0xAB, 0xBB, 0x201E, 0x3001, 0x3002, 0xFF0C, 0xFF0E, 0xFF01, 0xFF1F, 0xFF1A, 0xFF1B,
@@ -89,11 +91,11 @@ def ends_sentence(line: Column) -> Column:
 def simplify_text(text: Column) -> Column:
     """Lower case, numbers as 0, punctuation as spaces, single spaces, no space at the ends."""
     text = F.regexp_replace(F.lower(text), r"\p{Nd}+(?:[.,]\p{Nd}+)*", "0")
-    return strip(F.regexp_replace(F.regexp_replace(text, r"\p{P}+", " "), rf"[{SPACE}]+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(text, r"\p{P}+", " "), rf"[{WHITE}]+", " "))
 
 
 def simple_words(text: Column) -> Column:
-    return let(simplify_text(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
+    return let(simplify_text(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, rf"[{SPACE}]+")))
 
 
 def ngrams(words: Column, n: int) -> Column:

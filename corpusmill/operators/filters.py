@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions import text as T
-from .verdict import Step, first_reason
+from .verdict import ALIVE_TEXT, Step, first_reason
 
 ENGLISH_STOP_WORDS = ("and", "be", "have", "of", "that", "the", "to", "with")
 TELUGU_STOP_WORDS = ("ఈ", "ఉంది", "ఉన్నాయి", "కి", "కేంద్రం", "గ్రామం", "దూరంలో", "నుండి", "మీ")
@@ -126,8 +126,7 @@ def repetition_ngrams(text: Column, top: dict[int, float] = TOP_NGRAMS, duplicat
 
 def repetition_steps(top: dict[int, float] = TOP_NGRAMS, duplicated: dict[int, float] = DUPLICATED_NGRAMS, split: Callable[[str], list[str]] | None = None, name: str = "gopher repetition", **options) -> list[Step]:
     """All repetition rules, as two steps of one name: the n-gram rules see only texts that the native rules keep."""
-    text, alive = F.col("text"), F.col("drop_step").isNull()
-    return [Step(name, lambda _: repetition_lines(text, **options)), Step(name, lambda _: repetition_ngrams(F.when(alive, text), top, duplicated, split))]
+    return [Step(name, lambda _: repetition_lines(F.col("text"), **options)), Step(name, lambda _: repetition_ngrams(F.col(ALIVE_TEXT), top, duplicated, split), python=True)]
 
 
 def fineweb_quality(

@@ -24,21 +24,31 @@ def first_reason(rules: list[tuple[str, Column | None]]) -> Column:
 @dataclass(frozen=True)
 class Step:
     """A named step. `reason` gives a document's reason to go (null: it stays); `rewrite` gives the new text of those that stay; after a
-    formatter a text that is blank goes (reason dropped_empty)."""
+    formatter a text that is blank goes (reason dropped_empty). A reason that runs Python reads the column ALIVE_TEXT, which is null for documents that went before."""
 
     name: str
     reason: Callable[[DataFrame], Column] | None = None
     rewrite: Callable[[Column], Column] | None = None
     formatter: bool = False
+    python: bool = False
+
+
+ALIVE_TEXT = "__alive_text"
 
 
 def apply_steps(docs: DataFrame, steps: list[Step], text_col: str = "text") -> DataFrame:
-    """docs with drop_step and drop_reason (null for kept documents) and the rewritten text; dropped documents keep the text they had."""
-    out = docs.withColumn("drop_step", F.lit(None).cast("string")).withColumn("drop_reason", F.lit(None).cast("string"))
+    """docs with drop_step and drop_reason (null for kept documents) and the rewritten text; dropped documents keep the text they had. Verdicts that docs already has go on."""
+    out = docs
+    for name in ("drop_step", "drop_reason"):
+        if name not in docs.columns:
+            out = out.withColumn(name, F.lit(None).cast("string"))
     for step in steps:
         alive = F.col("drop_step").isNull()
         if step.reason is not None:
-            out = out.withColumn("__reason", F.when(alive, step.reason(out)))
+            if step.python:
+                # A condition that isn't deterministic keeps the optimizer from moving the conditions, with their lambdas, into the arguments of a Python function, where Spark can't evaluate them.
+                out = out.withColumn(ALIVE_TEXT, F.when(alive & (F.spark_partition_id() >= 0), F.col(text_col)))
+            out = out.withColumn("__reason", F.when(alive, step.reason(out))).drop(ALIVE_TEXT)
             out = out.withColumn("drop_step", F.when(alive & F.col("__reason").isNotNull(), step.name).otherwise(F.col("drop_step")))
             out = out.withColumn("drop_reason", F.coalesce("drop_reason", "__reason")).drop("__reason")
             alive = F.col("drop_step").isNull()

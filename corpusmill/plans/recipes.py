@@ -35,14 +35,12 @@ def english_pages(pages: DataFrame, blocked_domains: tuple[str, ...] = (), langu
     out = out.withColumn("__x", extract(F.when(alive, F.col("html")), timeout=timeout))
     out = out.withColumn("text", F.col("__x.text")).withColumn("__fail", F.when(alive & (F.col("__x.status") != "forwarded"), F.col("__x.status")))
     out = out.withColumn("drop_step", F.when(F.col("__fail").isNotNull(), "extraction").otherwise(F.col("drop_step"))).withColumn("drop_reason", F.coalesce("drop_reason", "__fail"))
-    fresh = out.drop("__x", "__fail").withColumnsRenamed({"drop_step": "__s", "drop_reason": "__r"})
-    steps = quality_steps()
+    out, steps = out.drop("__x", "__fail"), quality_steps()
     if scores is not None:
         reason, name, score = filters.language(scores(F.col("text")), languages, threshold)
-        fresh = fresh.withColumn("language", name).withColumn("language_score", score)
+        out = out.withColumn("language", name).withColumn("language_score", score)
         steps = [Step("language", lambda _: reason), *steps]
-    late = apply_steps(fresh, [Step(s.name, (lambda s: lambda d: F.when(F.col("__s").isNull(), s.reason(d)))(s), (lambda s: s.rewrite and (lambda x: F.when(F.col("__s").isNull(), s.rewrite(x)).otherwise(x)))(s)) for s in steps])
-    return late.withColumn("drop_step", F.coalesce("__s", "drop_step")).withColumn("drop_reason", F.coalesce("__r", "drop_reason")).drop("__s", "__r")
+    return apply_steps(out, steps)
 
 
 ENGLISH_STEPS = ["url", "crawl language", "extraction", "language", "gopher repetition", "gopher quality", "c4 quality", "fineweb quality"]

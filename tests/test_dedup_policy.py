@@ -1,0 +1,165 @@
+"""Deduplication, decontamination, hold-out, policy and measures."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.functions.text import hash64
+from corpusmill.operators import decont, dedup, metrics, split
+from corpusmill.operators import policy as P
+
+RIVER = "the river runs slowly past the old mill and through the green fields where children play every summer evening until the sun goes down behind hills"
+
+
+def frame(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_exact_dedup(spark, parts):
+    docs = frame(spark, "apple", "banana", "apple", None, None, "cherry", "banana", "").repartition(parts)
+    kept, gone = dedup.exact_dedup(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 3, 5, 7] and sorted(r.doc_id for r in gone.collect()) == [2, 4, 6]
+    assert sorted(r.doc_id for r in dedup.exact_dedup(docs, F.length("text"))[0].collect())[0] == 0
+
+
+def test_minhash_dedup(spark):
+    other = " ".join(f"w{k}" for k in range(60))
+    docs = frame(spark, RIVER, RIVER.replace("green", "wide") + " again", other, RIVER.upper() + "!", "too short here", None)
+    kept, gone = dedup.minhash_dedup(docs, buckets=40, rows=3)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 5] and sorted(r.doc_id for r in gone.collect()) == [1, 3]
+
+
+def test_minhash_maths(spark):
+    assert abs(dedup.similarity_threshold() - 0.719) < 0.001 and abs(dedup.candidate_probability(0.8) - 0.924) < 0.001 and dedup.candidate_probability(0.5) < 0.06
+    a, b = dedup.constants(112, 1)
+    assert (int(a[0]), int(b[0])) == (775169054918279404, 1062448801025099917)
+    rng = random.Random(1)
+    words = [f"w{k}" for k in range(300)]
+    other = [w if rng.random() > 0.05 else f"x{w}" for w in words]
+    one, two = (dedup.signature_of(w, 5, a, b) for w in (words, other))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, other)]
+    assert abs((one == two).mean() - len(sets[0] & sets[1]) / len(sets[0] | sets[1])) < 0.15
+    assert dedup.signature_of(words[:4], 5, a, b) is None and one.dtype == np.uint64
+    row = spark.createDataFrame([([1, 2, 3], [2, 3, 4])], "a array<int>, b array<int>")
+    assert row.select(dedup.jaccard(F.col("a"), F.col("b")), dedup.estimated_similarity(F.col("a"), F.col("b"))).first()[:] == (0.5, 0.0)
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(90, 80)], "x long, y long")
+    assert {r.node: r.label for r in dedup.components(edges).collect()} == {k: 0 for k in range(41)} | {80: 80, 90: 80}
+
+
+QUESTION = "which famous river flows through the capital city of the oldest kingdom in the northern part of that continent"
+FOOTER = "all rights reserved by the publisher of this site and may not be used again without written permission of owners"
+
+
+def test_decontamination(spark):
+    items = spark.createDataFrame([(0, QUESTION), (1, FOOTER)], "item_id long, text string")
+    docs = frame(spark, f"Leaked: {QUESTION.upper()}?", "a clean page about nothing of note", *[f"page {k} {FOOTER}" for k in range(11)], " ".join(["1 2 3"] * 20))
+    index = decont.ngram_index(items)
+    counts = decont.gram_counts(docs, index)
+    assert {r.documents for r in counts.collect()} == {1, 11}
+    assert [r.doc_id for r in decont.contaminated(docs, index, counts).collect()] == [0]
+    assert sorted(r.doc_id for r in decont.contaminated(docs, index).collect()) == [0, *range(2, 13)]
+    bad = decont.contaminating(index, counts)
+    assert [r.item_id for r in decont.items_with(index, bad).collect()] == [0]
+    covered = {r.doc_id: r.covered for r in decont.covered_fraction(docs, index).collect()}
+    assert abs(covered[0] - 19 / 20) < 1e-9 and 1 not in covered
+    shared = spark.createDataFrame([(k, QUESTION + f" {k}") for k in range(12)], "item_id long, text string")
+    assert decont.contaminated(docs, decont.ngram_index(shared)).count() == 0  # templates
+    assert decont.ngram_index(spark.createDataFrame([(1, "a b c " * 5)], "item_id long, text string")).count() == 3
+
+
+def test_holdout(spark):
+    docs = frame(spark, *[f"text {k}" for k in range(1000)], None)
+    kept, held = split.holdout_split(docs, 0.2)
+    ids = {r.doc_id for r in held.collect()}
+    assert 150 < len(ids) < 250 and kept.count() == 1001 - len(ids)
+    assert ids == {k for k in range(1000) if hash64(f"holdout\0text {k}") < int(0.2 * 2**64)}
+    assert {r.doc_id for r in split.holdout_split(docs.repartition(4), 0.2)[1].collect()} == ids
+    assert split.holdout_split(docs, 0.0)[1].count() == 0 and split.holdout_split(docs, 0.2, native=True)[1].count() in range(150, 250)
+    with pytest.raises(ValueError):
+        split.holdout_split(docs, 1.5)
+
+
+def test_selection_and_samples(spark):
+    docs = spark.createDataFrame([(1, "a cat", "http://www.example.com/x", "short"), (2, "dog", "http://notexample.com", "short"), (3, "cat", "http://other.org", "long")], "doc_id int, text string, url string, filter_reason string")
+    ids = lambda d: sorted(r.doc_id for r in d.collect())
+    assert ids(split.select(docs, reason="short")) == [1, 2] and ids(split.select(docs, domain="example.com")) == [1, 2] and ids(split.select(docs, grep="c.t")) == [1, 3]
+    assert ids(split.sample(docs, 2, 1)) == ids(split.sample(docs.repartition(3), 2, 1)) and split.sample(docs, 9).count() == 3
+    assert sorted(ids(split.shuffle(docs))) == [1, 2, 3]
+    assert [r.p for r in split.spread(spark.createDataFrame([(k,) for k in range(10)], "p int"), 3, 10, "p").orderBy("p").collect()] == [0, 3, 6]
+    strata = split.stratified_split(spark.createDataFrame([(k, k % 3 == 0) for k in range(90)], "k int, s boolean"), "s", "k", 0.1)
+    assert {(r.s, r.n) for r in strata.where("is_test").groupBy("s").agg(F.count("*").alias("n")).collect()} == {(True, 3), (False, 6)}
+
+
+def test_robots_rules():
+    body = "User-Agent: ExampleBot\nUser-agent: Foo\nDisallow: /a\nAllow: /a/b # note\nDisallow: *.gif$\n\nuseragent: *\nDisallow: /\n\nUser-agent: foo\nDisallow: /private/*/x\nContent-Signal: ai-train=no\nDisallow:\n"
+    r = P.Robots.parse(body)
+    checks = [("/a", False), ("/a/b", True), ("/a/b/c", True), ("/z", True), ("/p.gif", False), ("/p.gif?x", True), ("/p/private", True), ("/private/1/x", False), ("/private/x", True), ("/robots.txt", True)]
+    assert [r.allowed("https://x.org" + p, "Foo/2.0") for p, _ in checks] == [a for _, a in checks]
+    assert not r.allowed("https://x.org/z", "other") and r.allowed("https://x.org/z", "other", fallback=False) and r.signals("FOO") == ["ai-train=no"]
+    same = P.Robots.parse("User-agent: *\nDisallow: /%7Ejoe/\nDisallow: /ツ\nAllow: /page\nDisallow: /page\n")
+    assert not same.allowed("http://x/~joe/a", "b") and not same.allowed("http://x/%E3%83%84", "b") and same.allowed("http://x/page", "b")
+    assert P.Robots.of_status(404).allowed("http://x/", "b") and not P.Robots.of_status(503).allowed("http://x/", "b")
+    assert P.path_matches("/*/*/*/*/*b$", "/" + "a/" * 5000 + "b") and not P.path_matches("/*" * 30 + "z", "/" + "a/" * 3000)
+    assert P.Robots.parse(b"\xff User-agent: *\nDisallow: /x").allowed("http://h/x", "a") and not P.Robots.parse(b"User-agent: *\nDisallow: /x").allowed("http://h/x", "a")
+
+
+def test_page_signals_and_gate():
+    assert P.page_opt_out({"X-Robots-Tag": "noindex, NoAI"}, "") == "x_robots_noai" and P.page_opt_out({"TDM-Reservation": " 1 "}, None) == "tdm_reservation"
+    assert P.page_opt_out({"Content-Usage": "train-ai=n"}, "") == "content_usage" and P.page_opt_out(None, '<META content="noindex, noai" name="Robots">') == "meta_noai"
+    assert P.page_opt_out({}, "<meta name='tdm-reservation' content='1'>") == "tdm_reservation" and P.page_opt_out({}, "<meta name='robots' content='noaiming'>") is None
+    assert P.page_opt_out({}, " " * 200_001 + "<meta name='robots' content='noai'>") is None
+    parse = P.Robots.parse
+    gate = lambda body, url="https://x.org/a": P.check(url, parse(body) if body is not None else None, registry=P.Registry(["bad.org # x", "https://www.y.org/private/"]))
+    assert gate(None) is None and gate("User-agent: *\nDisallow: /a") == "robots_disallow" and gate("User-agent: GPTBot\nDisallow: /") == "ai_agent_blocked"
+    assert gate("User-agent: GPTBot\nDisallow: /b") is None and gate("User-agent: *\nContent-Signal: search=yes, ai-train=no") == "robots_content_signal"
+    assert gate(None, "http://sub.bad.org/") == gate(None, "http://y.org/private/z") == "opt_out_registry" and gate(None, "http://notbad.org/") is None
+
+
+def test_policy_frame(spark):
+    pages = spark.createDataFrame([(1, "https://A.org/x", "<p>", None), (2, "https://b.org/x", "<p>", {"x-robots-tag": "noai"}), (3, "https://c.org/x", None, None), (4, None, None, None)], "id int, url string, html string, h map<string,string>")
+    rows = [("https://a.org", 200, "User-agent: *\nDisallow: /y", 1), ("https://a.org", 200, "User-agent: *\nDisallow: /", 2), ("https://c.org", 500, "", 1)]
+    robots = P.latest_robots(spark.createDataFrame(rows, "origin string, status int, body string, at int"), "at")
+    got = {r.id: (r.policy_reason, r.robots_unknown) for r in P.policy(pages, robots, headers="h").collect()}
+    assert got == {1: ("robots_disallow", False), 2: ("x_robots_noai", True), 3: ("robots_disallow", False), 4: (None, True)}
+    hits = spark.createDataFrame([("http://sub.bad.org/",), ("http://www.y.org/private/z",), ("http://ok.org/",), (None,)], "url string")
+    assert [bool(r[0]) for r in hits.select(P.in_registry(F.col("url"), ["bad.org", "https://y.org/private/"])).collect()] == [True, True, False, False]
+
+
+def test_robots_cache():
+    now, answers = [0.0], {}
+
+    def fetch(url):
+        found = answers[url]
+        if isinstance(found, Exception):
+            raise found
+        return found
+
+    cache = P.RobotsCache(fetch, ttl=10, clock=lambda: now[0])
+    at = "https://x.org/robots.txt"
+    answers[at] = OSError()
+    assert not cache.get("https://x.org/a").allowed("https://x.org/a", "b")
+    answers[at] = (200, b"User-agent: *\nDisallow: /n")
+    assert cache.get("https://x.org/a").allowed("https://x.org/a", "b")
+    answers[at], now[0] = (503, b""), 20.0
+    assert not cache.get("https://x.org/a").allowed("https://x.org/n", "b") and cache.get("https://x.org/a").allowed("https://x.org/a", "b")
+
+
+def test_measures(spark):
+    values = [random.Random(3).random() for _ in range(500)]
+    row = spark.createDataFrame([(v,) for v in values], "v double").agg(*metrics.metric(F.col("v"))).first()
+    assert row.n == 500 and abs(row.total - sum(values)) < 1e-9 and abs(row.variance - np.var(values, ddof=1)) < 1e-9 and (row.min, row.max) == (min(values), max(values))
+    assert spark.createDataFrame([(1.0,)], "v double").agg(*metrics.metric(F.col("v"))).first().variance == 0
+    rows = spark.createDataFrame([(k, float(k % 7), float(k * k % 11)) for k in range(60)], "k int, a double, b double")
+    got, a, b = metrics.agreement(rows, "a", "b", "k").first(), [k % 7 for k in range(60)], [k * k % 11 for k in range(60)]
+    rank = lambda x: [sum(y < v for y in x) + (sum(y == v for y in x) + 1) / 2 for v in x]
+    assert abs(got.pearson - np.corrcoef(a, b)[0, 1]) < 1e-9 and abs(got.spearman - np.corrcoef(rank(a), rank(b))[0, 1]) < 1e-9
+    scored = spark.createDataFrame([(4.5, 4), (2.5, 2), (-1.0, 0), (9.0, 5), (3.2, 1)], "p double, a int")
+    out = metrics.evaluate(scored, F.col("p"), F.col("a")).first()
+    assert abs(out.binary_f1 - 2 * 2 / 5) < 1e-9 and out.exact == 0.8 and abs(out.macro_f1 - (1 + 0 + 1 + 0 + 1 + 1) / 6) < 1e-9
+    assert [tuple(r) for r in metrics.top_counts(spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "k string"), F.col("k"), 2).collect()] == [("b", 2, 0.5), ("a", 1, 0.25)]

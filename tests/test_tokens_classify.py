@@ -1,0 +1,84 @@
+"""Token folders and classifiers. Tokenizers are published files; none is trained."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.operators import classify as C
+from corpusmill.operators import tokenfolders as K
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_tokenize_write_read_merge_check(spark, tmp_path):
+    texts = [f"document number {k} " * (k % 4 + 1) for k in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3).withColumn("tokens", K.tokenize(F.col("text"), PATH))
+    t = K.load_tokenizer(PATH)
+    want = {tuple(t.encode(x, add_special_tokens=False).ids) + (50256,) for x in texts}
+    assert {tuple(r.tokens) for r in docs.collect()} == want
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    K.write_token_folder(docs, one, PATH, "doc_id")
+    names = K.names_of(one)
+    flat = [tuple(map(int, x)) for n in names for x in K.read_tokenized(one, n)]
+    assert flat == [tuple(t.encode(x, add_special_tokens=False).ids) + (50256,) for x in texts]  # ids in order
+    meta, ends = K.read_meta(one, names[0]), K.read_ends(one, names[0])
+    assert meta["token_bytes"] == 2 and ends[-1] == meta["tokens"] and len(ends) == meta["documents"]
+    assert K.read_token_folder(spark, one).count() == 30 and all(K.check_token_file(one, n, PATH) == [] for n in names)
+    K.write_token_folder(docs, two, PATH, "doc_id", seed=1)
+    assert {tuple(map(int, x)) for n in K.names_of(two) for x in K.read_tokenized(two, n)} == want
+    out = str(tmp_path / "merged")
+    stats = K.merge_token_folders(one, out, limit=100, seed=3)
+    merged = [[tuple(map(int, x)) for x in K.read_tokenized(out, n)] for n in K.names_of(out)]
+    assert stats["documents"] == 30 and sorted(x for m in merged for x in m) == sorted(flat) and all(sum(map(len, m)) <= 100 for m in merged)
+    order = [x for m in merged for x in m]
+    for n in names:  # each source keeps its order
+        own = [tuple(map(int, x)) for x in K.read_tokenized(one, n)]
+        places = [order.index(x) for x in own if flat.count(x) == 1]
+        assert places == sorted(places)
+    np.array([60000], "<u2").tofile(tmp_path / "one" / f"{names[0]}.ds")
+    assert len(K.check_token_file(one, names[0], PATH)) >= 2
+
+
+def test_token_errors_and_packing(spark, tmp_path):
+    with pytest.raises(ValueError):
+        K.tokenize(F.lit("x"), PATH, eos="<none>")
+    assert K.pack_greedy([3, 3, 5, 1, 9, 1], 6) == [[0, 1], [2, 3], [4], [5]] and K.pack_greedy([], 5) == []
+    for k, name in enumerate(("a", "b")):
+        K._put_triple(tmp_path, name, [np.array([1])], {"tokenizer": str(k), "eos": "e", "token_bytes": 2})
+    with pytest.raises(ValueError):
+        K.merge_token_folders(str(tmp_path), str(tmp_path / "o"))
+
+
+def test_scores_are_injected(spark):
+    docs = spark.createDataFrame([("a\nb",), ("long text here",), (None,)], "text string")
+    seen = C.with_class(C.score(docs, lambda: lambda texts: [len(t) / 3 for t in texts], "s", batch=2), "s").collect()
+    assert [(r.s, r.s_int) for r in seen] == [(1.0, 1), (round(14 / 3, 6), 5), (0.0, 0)]
+
+
+def test_training(spark):
+    good = spark.createDataFrame([(f"clear careful explanation of topic {k}",) for k in range(40)], "text string")
+    bad = spark.createDataFrame([(f"buy cheap pills now offer {k}",) for k in range(60)], "text string")
+    rows = C.balanced(good, bad)
+    assert rows.groupBy("label").count().collect()[0]["count"] == 40
+    model = C.train_classifier(rows, bits=10)
+    out = {r.text: r.hq for r in C.apply_model(spark.createDataFrame([("careful explanation",), ("cheap pills",), (None,)], "text string"), model, "hq").collect()}
+    assert out["careful explanation"] > 0.5 > out["cheap pills"]
+    scored = rows.withColumn("score", F.col("label") * 4.0)
+    reg = C.apply_model(scored, C.train_regressor(scored, bits=10), "edu")
+    assert reg.where("label = 1").agg(F.avg("edu")).first()[0] > 2.5
+
+
+def test_training_inputs(spark):
+    turns = spark.createDataFrame([(1, 1, "A."), (1, 0, "Q?")], "conv_id int, turn int, text string")
+    assert C.conversation_text(turns).first().text == "Q? A."
+    rows = spark.createDataFrame([([("human", "Q?"), ("gpt", "A.")],)], "c array<struct<from:string,value:string>>")
+    assert rows.select(C.conversations_column_text(F.col("c"))).first()[0] == "Q? A."
+    answers = lambda *xs: ([s for s, _ in xs], [t for _, t in xs])
+    data = [
+        (0, "q1", "Why?", "", "explainlikeimfive", answers((9, "low"), (1, "x"), (9, "longer"))), (1, "q1", "Again", "", "explainlikeimfive", answers((99, "b"), (1, "x"), (1, "y"))),
+        (2, "q2", "No", "", "other", answers((9, "a"), (9, "b"), (9, "c"))), (3, "q3", "Few", "", "explainlikeimfive", answers((9, "a"))), (4, "q4", "Low", "", "explainlikeimfive", answers((4, "a"), (1, "b"), (1, "c"))),
+        (5, "q5", "T", "S", "explainlikeimfive", answers((5, "a"), (1, "b"), (1, "c"))),
+    ]
+    frame = spark.createDataFrame(data, "at int, q_id string, title string, selftext string, subreddit string, answers struct<score:array<int>,text:array<string>>")
+    assert {r.q_id: r.text for r in C.best_answers(frame).collect()} == {"q1": "Why?\nlonger", "q5": "T\nS\na"}
