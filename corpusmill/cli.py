@@ -19,7 +19,7 @@ def inspect(spark: SparkSession, args: argparse.Namespace) -> str:
     from .operators.split import sample, select
     from .sources.readers import read_documents
 
-    rows = select(read_documents(spark, args.folder), args.reason, args.domain, args.grep)
+    rows = select(read_documents(spark, args.folder), **{k: getattr(args, k) for k in ("grep", "domain", "reason")})
     key = "id" if "id" in rows.columns else "doc_id"
     rows = sample(rows, args.sample, args.seed, key) if args.sample else rows.limit(args.limit)
     shown = []
@@ -54,7 +54,7 @@ def publish(spark: SparkSession, args: argparse.Namespace) -> str:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="corpusmill", description=__doc__)
-    commands = parser.add_subparsers(dest="command", required=True)
+    commands = parser.add_subparsers(required=True, dest="command")
     for name in ("status", "inspect", "report", "publish"):
         one = commands.add_parser(name)
         one.add_argument("folder")
@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> None:
             for flag, default in (("limit", 10), ("sample", 0), ("seed", 0), ("width", 300)):
                 one.add_argument(f"--{flag}", type=int, default=default)
         if name == "report":
-            one.add_argument("--top", type=int, default=20)
+            one.add_argument("--top", default=20, type=int)
             one.add_argument("--steps")
         if name in ("report", "publish"):
             one.add_argument("--out", required=name == "publish")

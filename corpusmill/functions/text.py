@@ -90,7 +90,7 @@ def ends_sentence(line: Column) -> Column:
 
 def simplify_text(text: Column) -> Column:
     """Lower case, numbers as 0, punctuation as spaces, single spaces, no space at the ends."""
-    text = F.regexp_replace(F.lower(text), r"\p{Nd}+(?:[.,]\p{Nd}+)*", "0")
+    text = F.regexp_replace(F.lower(text), r"\p{Nd}+(?:[,.]\p{Nd}+)*", "0")
     return strip(F.regexp_replace(F.regexp_replace(text, r"\p{P}+", " "), rf"[{WHITE}]+", " "))
 
 
@@ -142,7 +142,9 @@ def hash64(text: str) -> int:
     """Little-endian 64 bits of BLAKE2b; for executors."""
     from hashlib import blake2b
 
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    digest = blake2b(digest_size=8)
+    digest.update(text.encode("utf-8", "surrogatepass"))
+    return int.from_bytes(digest.digest(), "little")
 
 
 def indic_words(text: str) -> list[str]:

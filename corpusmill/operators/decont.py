@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+N, LIMIT = 13, 10
 
-def ngram_index(items: DataFrame, n: int = 13, item: str = "item_id", text: str = "text") -> DataFrame:
+
+def ngram_index(items: DataFrame, n: int = N, item: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct n-grams of each item."""
     grams = F.array_distinct(T.ngrams(T.simple_words(F.col(text)), n))
     return items.select(F.col(item).alias("item_id"), F.explode(grams).alias("gram"))
@@ -22,22 +24,22 @@ def _candidates(docs: DataFrame, index: DataFrame, n: int, doc: str, text: str)
     return rows.withColumn("__h", F.xxhash64("gram")).join(known, ["__h", "gram"]).drop("__h")
 
 
-def gram_counts(docs: DataFrame, index: DataFrame, n: int = 13, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def gram_counts(docs: DataFrame, index: DataFrame, n: int = N, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(gram, documents): how many documents hold each n-gram of the index."""
     return _candidates(docs, index, n, doc, text).groupBy("gram").agg(F.count("*").alias("documents"))
 
 
-def shared_ngrams(index: DataFrame, max_items: int = 10) -> DataFrame:
+def shared_ngrams(index: DataFrame, max_items: int = LIMIT) -> DataFrame:
     """n-grams of more than max_items items: templates."""
     return index.groupBy("gram").agg(F.count("*").alias("items")).where(F.col("items") > max_items).select("gram")
 
 
-def contaminating(index: DataFrame, counts: DataFrame, max_documents: int = 10, max_items: int = 10) -> DataFrame:
+def contaminating(index: DataFrame, counts: DataFrame, max_documents: int = LIMIT, max_items: int = LIMIT) -> DataFrame:
     """Matched n-grams that are neither web boilerplate nor templates."""
     return counts.where(F.col("documents") <= max_documents).select("gram").join(shared_ngrams(index, max_items), "gram", "left_anti")
 
 
-def contaminated(docs: DataFrame, index: DataFrame, counts: DataFrame | None = None, n: int = 13, max_documents: int = 10, max_items: int = 10, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, index: DataFrame, counts: DataFrame | None = None, n: int = N, max_documents: int = LIMIT, max_items: int = LIMIT, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of documents with a match that isn't ignored. Without counts only templates are."""
     ignored = shared_ngrams(index, max_items)
     if counts is not None:
@@ -49,7 +51,7 @@ def items_with(index: DataFrame, grams: DataFrame) -> DataFrame:
     return index.join(grams.select("gram").distinct(), "gram", "left_semi").select("item_id").distinct()
 
 
-def covered_fraction(texts: DataFrame, grams: DataFrame, n: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
+def covered_fraction(texts: DataFrame, grams: DataFrame, n: int = N, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, covered): the share of words inside an n-gram of `grams`, for texts with at least one."""
     words = texts.select(F.col(key), T.simple_words(F.col(text)).alias("w"))
     at = words.select(key, F.size("w").alias("words"), F.posexplode(T.ngrams(F.col("w"), n)).alias("pos", "gram"))

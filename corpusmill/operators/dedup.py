@@ -35,7 +35,7 @@ def exact_dedup(docs: DataFrame, key: Column | None = None, order: str = "doc_id
 
 
 @cache
-def constants(hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def constants(hashes: int, seed: int) -> tuple:
     """Multipliers and offsets of the permutations."""
     draw = np.random.RandomState(seed)
     return tuple(draw.randint(low, PRIME, size=hashes, dtype=np.uint64) for low in (1, 0))

@@ -19,12 +19,12 @@ ENGLISH_STOP_WORDS = ("and", "be", "have", "of", "that", "the", "to", "with")
 TELUGU_STOP_WORDS = ("ఈ", "ఉంది", "ఉన్నాయి", "కి", "కేంద్రం", "గ్రామం", "దూరంలో", "నుండి", "మీ")
 TOP_NGRAMS = {n: (24 - 2 * n) / 100 for n in range(2, 5)}
 DUPLICATED_NGRAMS = {n: (20 - n) / 100 for n in range(5, 11)}
-POLICY = ("terms of use", "privacy policy", "cookie policy", "uses cookies", "use of cookies", "use cookies")
+POLICY = tuple("privacy policy|cookie policy|terms of use|use cookies|uses cookies|use of cookies".split("|"))
 
 
 def gopher_quality(
     text: Column, min_words: int | None = 50, max_words: int | None = 100_000, min_mean: float | None = 3, max_mean: float | None = 10, max_symbols: float | None = 0.1,
-    max_bullets: float | None = 0.9, max_ellipses: float | None = 0.3, min_alpha: float | None = 0.8, min_stop_words: int | None = 2,
+    max_bullets: float | None = 0.9, max_ellipses: float | None = 0.3, min_alpha: float | None = 0.8, need_stop_words: int | None = 2,
     stop_words: Iterable[str] = ENGLISH_STOP_WORDS, splitter: Callable[[Column], Column] = T.split_words,
 ) -> Column:
     """Length, symbol, line and stop-word rules. Ratios are of all words, lengths of words that aren't punctuation alone. A text of punctuation alone has no mean length:
@@ -44,7 +44,7 @@ def gopher_quality(
             ("gopher_too_many_bullets", share(lambda x: x.rlike(rf"^[{T.SPACE}]*[•-]")) > max_bullets if max_bullets else None),
             ("gopher_too_many_end_ellipsis", share(lambda x: x.rlike(rf"(?:\.\.\.|…)[{T.SPACE}]*\z")) > max_ellipses if max_ellipses else None),
             ("gopher_below_alpha_threshold", F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))) / n < min_alpha if min_alpha else None),
-            ("gopher_not_enough_stop_words", F.size(F.array_intersect(words, F.array(*map(F.lit, stop_words)))) < min_stop_words if min_stop_words else None),
+            ("gopher_not_enough_stop_words", F.size(F.array_intersect(words, F.array(*map(F.lit, stop_words)))) < need_stop_words if need_stop_words else None),
         ])
 
     lines = T.let(T.split_lines(text), lambda x: F.when(F.size(x) == 0, F.array(text)).otherwise(x))
@@ -76,7 +76,7 @@ def repetition_lines(text: Column, lines: float | None = 0.3, paragraphs: float
     return F.when(T.blank(text), "empty").otherwise(rest)
 
 
-def top_ngram(words: list[str], n: int) -> int:
+def top_ngram(words, n: int):
     """Characters of the commonest n-gram (first seen among equals), spaces between its words included, times its count."""
     counts: dict[tuple, int] = {}
     for k in range(len(words) - n + 1):
@@ -88,7 +88,7 @@ def top_ngram(words: list[str], n: int) -> int:
     return counts[best] * (n - 1 + sum(len(w) for w in best))
 
 
-def repeated_ngrams(words: list[str], n: int) -> int:
+def repeated_ngrams(words, n: int):
     """Characters of n-grams seen before, scanning left to right and leaping over each that is counted."""
     known, total, k = set(), 0, 0
     while k + n <= len(words):
@@ -233,7 +233,7 @@ def crawl_language(tags: Column, languages: Iterable[str]) -> Column:
     return F.when((F.size(F.coalesce(tags, F.array().cast("array<string>"))) > 0) & ~F.arrays_overlap(tags, F.array(*map(F.lit, languages))), "other_language")
 
 
-def language(scores: Column, languages: Iterable[str], threshold: float | dict[str, float] = 0.65) -> tuple[Column, Column, Column]:
+def language(scores: Column, languages: Iterable[str], threshold: dict[str, float] | float = 0.65) -> tuple[Column, Column, Column]:
     """(reason, language, score) from a map of language scores; the best language is written down even for documents that go. Ties: the lower name. A wanted language without a threshold of its own has 0.65."""
     best = F.get(F.array_sort(F.transform(F.map_entries(scores), lambda e: F.struct((-e["value"]).alias("s"), e["key"].alias("k")))), F.lit(0))
     name, score = best["k"], F.bround(-best["s"], 4)

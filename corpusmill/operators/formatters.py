@@ -14,9 +14,11 @@ from pyspark.sql.column import Column
 from ..functions import text as T
 from ..functions.text import hash64
 
-_ATOM = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+"
-_NAME = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-EMAIL = rf"\b{_ATOM}(?:\.{_ATOM})*@(?:{_NAME}\.)+(?=[A-Za-z]){_NAME}"
+_ALNUM = "A-Za-z0-9"
+_ATOM = f"[{_ALNUM}#!$&%*'/+?=_^{{`~}}|-]+"
+_REST = f"(?:[{_ALNUM}-]*[{_ALNUM}])?"
+_NAME = f"[{_ALNUM}]{_REST}"
+EMAIL = rf"\b{_ATOM}(?:\.{_ATOM})*@(?:{_NAME}\.)+[A-Za-z]{_REST}"
 _BYTE = "(?:" + "|".join(("25[0-5]", "2[0-4][0-9]", "1[0-9][0-9]", "[1-9]?[0-9]")) + ")"
 IPV4 = r"(?<![0-9])(?<![0-9]\.)" + r"\.".join([_BYTE] * 4) + r"(?!\.?[0-9])"
 MAIL_STAND_INS = tuple(f"{who}@example.{top}" for who, top in (("email", "com"), ("firstname.lastname", "org")))
@@ -111,7 +113,10 @@ def flatten(text: Column) -> Column:
     return F.array_join(T.split_lines(T.strip(text)), " ")
 
 
-def preview(text: str, width: int = 300) -> str:
+PREVIEW_WIDTH = 300
+
+
+def preview(text: str, width: int = PREVIEW_WIDTH) -> str:
     """One line of at most `width` user-perceived characters, with … if cut."""
     import regex
 

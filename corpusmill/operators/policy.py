@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections import defaultdict
 from collections.abc import Callable, Iterable
 from urllib.parse import quote, unquote, urlsplit
 
@@ -23,7 +24,7 @@ _FIELDS = {"user agent": "agent", "useragent": "agent", "user-agent": "agent"} |
 
 def normal_path(path: str) -> str:
     """One spelling for paths that differ in percent-encoding alone."""
-    return quote(unquote(path), safe="/:@!$&'()*+,;=?-._~")
+    return quote(unquote(path), safe="!$&'()*+,-./:;=?@_~")
 
 
 def path_matches(pattern: str, path: str) -> bool:
@@ -43,7 +44,7 @@ def path_matches(pattern: str, path: str) -> bool:
 
 
 def token_of(agent: str) -> str:
-    return agent.partition("/")[0].strip().lower()
+    return agent.lower().partition("/")[0].strip()
 
 
 class Robots:
@@ -77,12 +78,12 @@ class Robots:
         """Client errors allow all; server errors and no answer forbid all."""
         return cls(everywhere=400 <= status < 500)
 
-    def of_agent(self, agent: str, fallback: bool = True) -> list[tuple]:
+    def of_agent(self, agent: str, others: bool = True) -> list[tuple]:
         """All groups of the agent together, or else those of *."""
         own = [g for g in self.groups if token_of(agent) in g[0]]
-        return own or [g for g in self.groups if fallback and "*" in g[0]]
+        return own or [g for g in self.groups if others and "*" in g[0]]
 
-    def allowed(self, url: str, agent: str, fallback: bool = True) -> bool:
+    def allowed(self, url: str, agent: str, others: bool = True) -> bool:
         """The longest matching path decides; of equally long ones allow."""
         if self.everywhere is not None:
             return self.everywhere
@@ -90,7 +91,7 @@ class Robots:
         path = normal_path(at.path or "/") + ("?" + normal_path(at.query) if at.query else "")
         if path == "/robots.txt":
             return True
-        hits = [(len(normal_path(p)), allow) for g in self.of_agent(agent, fallback) for p, allow in g[1] if path_matches(p, path)]
+        hits = [(len(normal_path(p)), allow) for g in self.of_agent(agent, others) for p, allow in g[1] if path_matches(p, path)]
         return max(hits)[1] if hits else True
 
     def signals(self, agent: str) -> list[str]:
@@ -99,17 +100,17 @@ class Robots:
 
 def forbids_training(value: str) -> bool:
     terms = {k.strip().lower(): v.strip().lower() for k, _, v in (t.partition("=") for t in re.split(r"[\s,;]+", value))}
-    return terms.get("ai-train") == "no" or terms.get("train-ai", "") in ("no", "n")
+    return "no" == terms.get("ai-train") or terms.get("train-ai", "") in ("no", "n")
 
 
 def page_opt_out(headers: dict[str, str] | None, page: str | None) -> str | None:
     """The first opt-out signal of a page's headers and meta tags."""
-    known = {k.lower(): v or "" for k, v in (headers or {}).items()}
-    if "noai" in known.get("x-robots-tag", "").lower():
+    known = defaultdict(str, {k.lower(): v or "" for k, v in (headers or {}).items()})
+    if "noai" in known["x-robots-tag"].lower():
         return "x_robots_noai"
-    if known.get("tdm-reservation", "").strip() == "1":
+    if known["tdm-reservation"].strip() == "1":
         return "tdm_reservation"
-    if forbids_training(known.get("content-usage", "")):
+    if forbids_training(known["content-usage"]):
         return "content_usage"
     for tag in re.finditer(r"<meta\s[^>]*>", (page or "")[:HTML_CHARS], re.I):
         found = {m[1].lower(): m[3] for m in re.finditer(r"\b(name|http-equiv|content)\s*=\s*([\"'])([^\"']*)[\"']", tag[0], re.I)}
@@ -130,9 +131,9 @@ class Registry:
         self.prefixes = tuple(e.removeprefix("www.") for e in bare if "/" in e)
         self.hosts = frozenset(e.removeprefix("www.") for e in bare if "/" not in e)
 
-    def __contains__(self, url: str) -> bool:
-        host = (urlsplit(url).hostname or "").removeprefix("www.").split(".")
-        if any(".".join(host[k:]) in self.hosts for k in range(len(host))):
+    def __contains__(self, url: str):
+        labels = re.sub(r"^www\.", "", urlsplit(url).hostname or "").split(".")
+        if any(".".join(labels[k:]) in self.hosts for k in range(len(labels))):
             return True
         return re.sub(r"^.*?://", "", url.lower()).removeprefix("www.").startswith(self.prefixes or ("\0",))
 
@@ -196,9 +197,9 @@ def latest_robots(rows: DataFrame, order: str) -> DataFrame:
 
 
 class RobotsCache:
-    """robots.txt by origin, fetched again after `ttl` seconds. While a host fails its last good copy holds; without one everything is forbidden."""
+    """fetch(url) gives (status, body) or raises OSError. robots.txt by origin, fetched again after `ttl` seconds. While a host fails its last good copy holds; without one everything is forbidden."""
 
-    def __init__(self, fetch: Callable[[str], tuple[int, bytes]], ttl: float = 86_400, clock: Callable[[], float] = time.time):
+    def __init__(self, fetch: Callable, ttl: float = 86_400, clock: Callable = time.time):
         self.fetch, self.ttl, self.clock, self.held = fetch, ttl, clock, {}
 
     def get(self, url: str) -> Robots:
@@ -215,6 +216,6 @@ class RobotsCache:
                 return Robots.of_status(status)
         if status >= 500 and last is not None:
             return last
-        found = Robots.parse(body) if 200 <= status < 300 else Robots.of_status(status)
+        found = Robots.parse(body) if status // 100 == 2 else Robots.of_status(status)
         self.held[origin] = self.clock(), found
         return found

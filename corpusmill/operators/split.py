@@ -13,9 +13,12 @@ from ..functions import text as T
 from ..functions.text import hash64
 
 
-def in_holdout(text: Column, fraction: float = 0.001, salt: str = "holdout", native: bool = False) -> Column:
+FRACTION, SALT = 0.001, "holdout"
+
+
+def in_holdout(text: Column, fraction: float = FRACTION, salt: str = SALT, native: bool = False) -> Column:
     """Whether the hash of salt and text is in the lowest `fraction`. native: MD5 on the JVM side in place of BLAKE2b."""
-    if not 0 <= fraction <= 1:
+    if fraction < 0 or fraction > 1:
         raise ValueError(f"fraction {fraction} isn't between 0 and 1")
     limit = int(fraction * 2**64)
     if native:
@@ -28,19 +31,19 @@ def in_holdout(text: Column, fraction: float = 0.001, salt: str = "holdout", nat
     return low(text)
 
 
-def holdout_split(docs: DataFrame, fraction: float = 0.001, salt: str = "holdout", text: str = "text", native: bool = False) -> tuple[DataFrame, DataFrame]:
+def holdout_split(docs: DataFrame, fraction: float = FRACTION, salt: str = SALT, text: str = "text", native: bool = False) -> tuple[DataFrame, DataFrame]:
     """(kept, held out). A null text is kept."""
     marked = docs.withColumn("__held", F.coalesce(in_holdout(F.col(text), fraction, salt, native), F.lit(False)))
     return marked.where("not __held").drop("__held"), marked.where("__held").drop("__held")
 
 
-def select(docs: DataFrame, reason: str | None = None, domain: str | None = None, grep: str | None = None, text: str = "text", url: str = "url") -> DataFrame:
+def select(docs: DataFrame, reason: str = "", grep: str = "", domain: str = "", text: str = "text", url: str = "url") -> DataFrame:
     """By exact filter reason, end of the host, and regular expression in the text."""
-    if reason is not None:
+    if reason:
         docs = docs.where(F.col("filter_reason") == reason)
-    if domain is not None:
+    if domain:
         docs = docs.where(T.host_of(F.col(url)).endswith(domain))
-    if grep is not None:
+    if grep:
         re.compile(grep)
         docs = docs.where(F.col(text).rlike(grep))
     return docs
@@ -62,7 +65,7 @@ def spread(rows: DataFrame, count: int, total: int, order: str) -> DataFrame:
     return rows.withColumn("__at", at).where((F.col("__at") % step == 0) & (F.floor(F.col("__at") / step) < count)).drop("__at")
 
 
-def stratified_split(rows: DataFrame, stratum: str, key: str, test: float = 0.1, seed: int = 42) -> DataFrame:
+def stratified_split(rows: DataFrame, stratum: str, key: str, seed: int = 42, test: float = 0.1) -> DataFrame:
     """rows with `is_test`: in each stratum the round(n * test) rows with the lowest hashes.
 
     Ranks within a stratum come from counts of hash ranges, so that a stratum with most rows isn't one task: a row's rank is the rows of lower ranges plus its rank in its own."""

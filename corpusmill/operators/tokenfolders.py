@@ -7,9 +7,9 @@ from __future__ import annotations
 
 import json
 import os
+import pathlib
 import uuid
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -56,19 +56,19 @@ def pack_greedy(lengths: Iterable[int], limit: int) -> list[list[int]]:
     return files
 
 
-def _put(folder: Path, name: str, data: bytes) -> None:
+def _put(folder: pathlib.Path, name: str, data: bytes) -> None:
     temporary = folder / f".{name}.{uuid.uuid4().hex}"
     temporary.write_bytes(data)
     os.replace(temporary, folder / name)
 
 
-def _put_triple(folder: Path, name: str, tokens: list[np.ndarray], meta: dict) -> None:
+def _put_triple(folder: pathlib.Path, name: str, tokens: list[np.ndarray], meta: dict) -> None:
     folder.mkdir(parents=True, exist_ok=True)
     kind = np.dtype("<u2" if meta["token_bytes"] == 2 else "<u4")
     _put(folder, f"{name}.ds", b"".join(np.asarray(t).astype(kind).tobytes() for t in tokens))
     ends = np.cumsum([len(t) for t in tokens], dtype=np.int64).astype("<u8") if tokens else np.empty(0, "<u8")
     _put(folder, f"{name}.index", ends.tobytes())
-    _put(folder, f"{name}.meta", json.dumps(meta | {"documents": len(tokens), "tokens": int(ends[-1]) if len(ends) else 0}).encode())
+    _put(folder, f"{name}.meta", json.dumps(meta | {"documents": len(tokens), "tokens": sum(map(len, tokens))}).encode())
 
 
 def write_token_folder(docs: DataFrame, folder: str, tokenizer: str, order: str, tokens: str = "tokens", eos: str = "<|endoftext|>", seed: int | None = None) -> None:
@@ -79,7 +79,7 @@ def write_token_folder(docs: DataFrame, folder: str, tokenizer: str, order: str,
     def run(batches):
         held = [np.asarray(t, np.int64) for b in batches for t in b[tokens]]
         if held:
-            _put_triple(Path(folder), f"{TaskContext.get().partitionId():05d}", held, meta)
+            _put_triple(pathlib.Path(folder), f"{TaskContext.get().partitionId():05d}", held, meta)
         yield pd.DataFrame({"documents": [len(held)], "tokens": [sum(map(len, held))]})
 
     at = F.col(order) if seed is None else F.md5(F.concat(F.lit(f"{seed}|"), F.col(order).cast("string")).cast("binary"))
@@ -87,21 +87,21 @@ def write_token_folder(docs: DataFrame, folder: str, tokenizer: str, order: str,
 
 
 def read_meta(folder: str, name: str) -> dict:
-    return json.loads((Path(folder) / f"{name}.meta").read_text())
+    return json.loads((pathlib.Path(folder) / f"{name}.meta").read_text())
 
 
 def read_ends(folder: str, name: str) -> np.ndarray:
-    return np.fromfile(Path(folder) / f"{name}.index", "<u8")
+    return np.fromfile(pathlib.Path(folder) / f"{name}.index", "<u8")
 
 
 def read_tokenized(folder: str, name: str) -> list[np.ndarray]:
     ends = read_ends(folder, name).astype(np.int64)
-    data = np.fromfile(Path(folder) / f"{name}.ds", "<u2" if read_meta(folder, name)["token_bytes"] == 2 else "<u4")
+    data = np.fromfile(pathlib.Path(folder) / f"{name}.ds", "<u2" if read_meta(folder, name)["token_bytes"] == 2 else "<u4")
     return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
 
 def names_of(folder: str) -> list[str]:
-    return sorted(p.stem for p in Path(folder).glob("*.meta"))
+    return sorted(p.stem for p in pathlib.Path(folder).glob("*.meta"))
 
 
 def read_token_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,20 +137,20 @@ def merge_token_folders(folder: str, out: str, name: str = "merged", limit: int
     held = {k: read_tokenized(folder, n) for k, n in enumerate(names)}
     base = {k: v for k, v in (metas[0] if metas else {}).items() if k in ("tokenizer", "eos", "token_bytes")}
     for number, part in enumerate(parts):
-        _put_triple(Path(out), f"{number:05d}_{name}", [held[plan[p][0]][plan[p][1]] for p in part], base)
+        _put_triple(pathlib.Path(out), f"{number:05d}_{name}", [held[plan[p][0]][plan[p][1]] for p in part], base)
     return {"documents": len(plan), "tokens": int(sum(s.sum() for s in sizes)), "files": len(parts)}
 
 
 def check_token_file(folder: str, name: str, tokenizer: str) -> list[str]:
     """What is wrong with a triple; empty if nothing is."""
     meta, ends = read_meta(folder, name), read_ends(folder, name).astype(np.int64)
-    found, size = [], os.path.getsize(Path(folder) / f"{name}.ds") // meta["token_bytes"]
+    found, size = [], os.path.getsize(pathlib.Path(folder) / f"{name}.ds") // meta["token_bytes"]
     if size != meta["tokens"] or (len(ends) and ends[-1] != size):
         found.append("token count differs from index or meta")
     if len(ends) != meta["documents"] or (np.diff(ends, prepend=0) <= 0).any():
         found.append("document ends are wrong")
     t = load_tokenizer(tokenizer)
-    data = np.fromfile(Path(folder) / f"{name}.ds", "<u2" if meta["token_bytes"] == 2 else "<u4")
+    data = np.fromfile(pathlib.Path(folder) / f"{name}.ds", "<u2" if meta["token_bytes"] == 2 else "<u4")
     if len(data) and int(data.max()) >= t.get_vocab_size():
         found.append("an id is outside the vocabulary")
     good = ends[(ends > 0) & (ends <= len(data))]

@@ -62,9 +62,10 @@ def estimate_eta(done: list[float], running: list[tuple[float, float]], waiting:
 
 
 def duration(seconds: float) -> str:
-    minutes, s = divmod(round(seconds), 60)
-    hours, minutes = divmod(minutes, 60)
-    return f"{hours}h{minutes:02d}m" if hours else f"{minutes}m{s:02d}s" if minutes else f"{s}s"
+    whole = round(seconds)
+    if whole >= 3600:
+        return f"{whole // 3600}h{whole // 60 % 60:02d}m"
+    return f"{whole // 60}m{whole % 60:02d}s" if whole >= 60 else f"{whole}s"
 
 
 def render_status(rows: list) -> str:

@@ -17,7 +17,7 @@ from ..functions import text as T
 from .http import get_range, open_any
 from .warc import records, split_http
 
-INDEX_COLUMNS = ("url", "url_host_name", "content_languages", "content_mime_detected", "warc_filename", "warc_record_offset", "warc_record_length")
+INDEX_COLUMNS = ("url", "url_host_name", "warc_filename", "warc_record_offset", "warc_record_length", "content_mime_detected", "content_languages")
 
 
 def index_files(listing: bytes) -> list[str]:
@@ -112,8 +112,8 @@ def fetch_records(requests: DataFrame, base: str, per_second: float = 10.0, task
 
 
 class _Batch(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+    def __init__(self, batch: str):
+        self.batch = batch
 
 
 class _PoolReader(DataSourceReader):
@@ -127,7 +127,7 @@ class _PoolReader(DataSourceReader):
         import zstandard
 
         def lines(name):
-            raw = open_any(f"{self.base}/{partition.name}/{name}")
+            raw = open_any(f"{self.base}/{partition.batch}/{name}")
             return io.TextIOWrapper(io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True)), encoding="utf-8")
 
         meta = lines("metadata.zst")
@@ -135,7 +135,7 @@ class _PoolReader(DataSourceReader):
         for number, (about, text) in enumerate(pairs):
             # A cheap test spares most lines the JSON parser.
             if self.hint in about:
-                yield partition.name, number, about, text
+                yield partition.batch, number, about, text
 
 
 class PoolSource(DataSource):
@@ -152,7 +152,7 @@ class PoolSource(DataSource):
         return _PoolReader(dict(self.options))
 
 
-def read_pool(spark: SparkSession, batches: list[str], base: str, language: str, identifier: str = "openlid-v3", min_probability: float = 0.5, text: bool = True) -> DataFrame:
+def read_pool(spark: SparkSession, batches: list[str], base: str, language: str, min_probability: float = 0.5, identifier: str = "openlid-v3", text: bool = True) -> DataFrame:
     """(text, id, url, date, batch, language_score, allowed) of lines whose first guess is `language` with at least min_probability. `allowed` is false where robots.txt forbade the page: such rows are there to be counted. With text=False the
     text files aren't read and text is null."""
     spark.dataSource.register(PoolSource)
@@ -164,7 +164,7 @@ def read_pool(spark: SparkSession, batches: list[str], base: str, language: str,
     return rows.select(body.alias("text"), F.coalesce("m.id", F.concat_ws("/", "batch", F.col("number").cast("string"))).alias("id"), F.col("m.u").alias("url"), F.col("m.ts").alias("date"), "batch", F.get("g.prob", F.lit(0)).alias("language_score"), F.coalesce("m.allowed", F.lit(True)).alias("allowed"))
 
 
-def robots_rows(path: str) -> list[tuple[str, int, bytes]]:
+def robots_rows(path: str) -> list[tuple]:
     """(origin, status, body) of an archive of robots.txt responses, in order."""
     out = []
     with open_any(path) as raw:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import threading
 import time
 import urllib.error
@@ -19,7 +20,7 @@ class RateLimiter:
     def __init__(self, per_second: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         self.gap, self.clock, self.sleep, self.lock, self.free = 1 / per_second, clock, sleep, threading.Lock(), 0.0
 
-    def wait(self) -> None:
+    def wait(self):
         with self.lock:
             now = self.clock()
             at = max(now, self.free)
@@ -28,10 +29,10 @@ class RateLimiter:
             self.sleep(at - now)
 
 
-def request(url: str, headers: dict | None = None, method: str = "GET", limiter: RateLimiter | None = None, retries: int = 6, backoff: float = 10.0, timeout: float = 60.0, sleep: Callable[[float], None] = time.sleep):
+def request(url: str, headers: dict | None = None, method: str = "GET", retries: int = 6, limiter: RateLimiter | None = None, backoff: float = 10.0, timeout: float = 60.0, sleep: Callable[[float], None] = time.sleep):
     """An open response. Refusals that may pass (AGAIN) and broken connections are tried again, each time after twice the wait."""
-    for k in range(retries + 1):
-        if limiter:
+    for k in range(1 + retries):
+        if limiter is not None:
             limiter.wait()
         try:
             return urllib.request.urlopen(urllib.request.Request(url, headers=headers or {}, method=method), timeout=timeout)
@@ -44,12 +45,12 @@ def request(url: str, headers: dict | None = None, method: str = "GET", limiter:
         sleep(backoff * 2**k)
 
 
-def get_range(url: str, start: int, end: int, **options) -> bytes:
+def get_range(url: str, first: int, end: int, **options) -> bytes:
     """Bytes [start, end)."""
-    headers = {"Range": f"bytes={start}-{end - 1}"} | (options.pop("headers", None) or {})
+    headers = {"Range": "bytes=%d-%d" % (first, end - 1)} | (options.pop("headers", None) or {})
     with request(url, headers, **options) as r:
         data = r.read()
-        return data if r.status == 206 else data[start:end]
+        return data if r.status == 206 else data[first:end]
 
 
 class RangeFile(io.RawIOBase):
@@ -120,13 +121,13 @@ class ResumingStream(io.RawIOBase):
             return len(data)
 
     def close(self):
-        if self.response is not None:
-            self.response.close()
+        if (held := self.response) is not None:
+            held.close()
         super().close()
 
 
 def open_any(path: str, **options) -> BinaryIO:
     """A local or mounted path, a file: URL, or an http(s) URL, for reading."""
-    if path.startswith(("http://", "https://")):
+    if re.match("https?://", path):
         return io.BufferedReader(ResumingStream(path, **options), 1 << 20)
     return open(path.removeprefix("file://"), "rb")

@@ -35,7 +35,7 @@ def _path(base: str | None) -> Column:
     return F.regexp_replace(found, "^.*" + base.rstrip("/").split("://")[-1].replace(".", r"\.") + "/?", "") if base else found
 
 
-def read_parquet(spark: SparkSession, path: str | list[str], text: str = "text", id: str = "id", metadata: bool = True, defaults: dict | None = None, limit: int = -1, recursive: bool = True, glob: str | None = None) -> DataFrame:
+def read_parquet(spark: SparkSession, path: str | list[str], text: str = "text", id: str = "id", metadata: bool = True, limit: int = -1, defaults: dict | None = None, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """Parquet documents. With metadata=False only text and id are read. The default id counts all rows of a file, empty ones too."""
     base = path if isinstance(path, str) else None
     rows = _options(spark.read, recursive, glob).parquet(*([path] if base else path))
@@ -44,7 +44,7 @@ def read_parquet(spark: SparkSession, path: str | list[str], text: str = "text",
     return adapt(rows, text, id, F.col("__path"), F.col("__row"), defaults, limit)
 
 
-def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str, text: str = "text", id: str = "id", defaults: dict | None = None, limit: int = -1, recursive: bool = True, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType | str, text: str = "text", id: str = "id", limit: int = -1, defaults: dict | None = None, recursive: bool = True, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, bad lines). Lines that aren't JSON objects of the schema's types don't stop the run; (file, line) tells where they are. Compression goes by extension.
 
     Default ids are `file/offset of the line's block row`: Spark's JSON reader has no line number, so lines are read as text and parsed with the schema."""

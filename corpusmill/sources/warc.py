@@ -139,7 +139,7 @@ def page_of(headers: dict[str, str], content: bytes) -> dict | None:
         return None
     status, http, body = split_http(content)
     kind = headers.get("warc-identified-payload-type") or http.get("content-type", "")
-    if kind.partition(";")[0].strip().lower() not in HTML_TYPES or (text := decode(body)) is None:
+    if kind.lower().partition(";")[0].strip() not in HTML_TYPES or (text := decode(body)) is None:
         return None
     return {
         "id": headers.get("warc-record-id", "").strip("<>"), "url": headers.get("warc-target-uri"), "date": headers.get("warc-date"), "html": text,

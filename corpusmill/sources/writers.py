@@ -47,11 +47,11 @@ def build_preview(kept: DataFrame, removed: dict[str, DataFrame], out: str, titl
     for name, docs in {"kept": kept, **{f"removed_{k}": v for k, v in removed.items()}}.items():
         preview_rows(docs).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(f"{out}/{name}", compression="zstd")
         counts[name] = spark.read.parquet(f"{out}/{name}").count()
-    spark.createDataFrame([(card(title, counts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/card")
+    spark.createDataFrame([(card(counts, title),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/card")
     return counts
 
 
-def card(title: str, counts: dict[str, int]) -> str:
+def card(counts: dict[str, int], title: str) -> str:
     total = sum(counts.values()) or 1
     rows = [f"| {name} | {n:,} | {n / total:.1%} |" for name, n in counts.items()]
     heads = [f"- config_name: {name}\n  data_files: {name}/*.parquet" for name in counts]

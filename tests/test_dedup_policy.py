@@ -92,7 +92,7 @@ def test_selection_and_samples(spark):
     assert ids(split.sample(docs, 2, 1)) == ids(split.sample(docs.repartition(3), 2, 1)) and split.sample(docs, 9).count() == 3
     assert sorted(ids(split.shuffle(docs))) == [1, 2, 3]
     assert [r.p for r in split.spread(spark.createDataFrame([(k,) for k in range(10)], "p int"), 3, 10, "p").orderBy("p").collect()] == [0, 3, 6]
-    strata = split.stratified_split(spark.createDataFrame([(k, k % 3 == 0) for k in range(90)], "k int, s boolean"), "s", "k", 0.1)
+    strata = split.stratified_split(spark.createDataFrame([(k, k % 3 == 0) for k in range(90)], "k int, s boolean"), "s", "k", test=0.1)
     assert {(r.s, r.n) for r in strata.where("is_test").groupBy("s").agg(F.count("*").alias("n")).collect()} == {(True, 3), (False, 6)}
 
 
@@ -101,7 +101,7 @@ def test_robots_rules():
     r = P.Robots.parse(body)
     checks = [("/a", False), ("/a/b", True), ("/a/b/c", True), ("/z", True), ("/p.gif", False), ("/p.gif?x", True), ("/p/private", True), ("/private/1/x", False), ("/private/x", True), ("/robots.txt", True)]
     assert [r.allowed("https://x.org" + p, "Foo/2.0") for p, _ in checks] == [a for _, a in checks]
-    assert not r.allowed("https://x.org/z", "other") and r.allowed("https://x.org/z", "other", fallback=False) and r.signals("FOO") == ["ai-train=no"]
+    assert not r.allowed("https://x.org/z", "other") and r.allowed("https://x.org/z", "other", others=False) and r.signals("FOO") == ["ai-train=no"]
     same = P.Robots.parse("User-agent: *\nDisallow: /%7Ejoe/\nDisallow: /ツ\nAllow: /page\nDisallow: /page\n")
     assert not same.allowed("http://x/~joe/a", "b") and not same.allowed("http://x/%E3%83%84", "b") and same.allowed("http://x/page", "b")
     assert P.Robots.of_status(404).allowed("http://x/", "b") and not P.Robots.of_status(503).allowed("http://x/", "b")
@@ -111,13 +111,13 @@ def test_robots_rules():
 
 def test_page_signals_and_gate():
     assert P.page_opt_out({"X-Robots-Tag": "noindex, NoAI"}, "") == "x_robots_noai" and P.page_opt_out({"TDM-Reservation": " 1 "}, None) == "tdm_reservation"
-    assert P.page_opt_out({"Content-Usage": "train-ai=n"}, "") == "content_usage" and P.page_opt_out(None, '<META content="noindex, noai" name="Robots">') == "meta_noai"
+    assert P.page_opt_out({"content-usage": "a=b; Train-AI = n".replace(" = ", "=")}, "") == "content_usage" and P.page_opt_out(None, '<META content="noindex, noai" name="Robots">') == "meta_noai"
     assert P.page_opt_out({}, "<meta name='tdm-reservation' content='1'>") == "tdm_reservation" and P.page_opt_out({}, "<meta name='robots' content='noaiming'>") is None
     assert P.page_opt_out({}, " " * 200_001 + "<meta name='robots' content='noai'>") is None
     parse = P.Robots.parse
     gate = lambda body, url="https://x.org/a": P.check(url, parse(body) if body is not None else None, registry=P.Registry(["bad.org # x", "https://www.y.org/private/"]))
     assert gate(None) is None and gate("User-agent: *\nDisallow: /a") == "robots_disallow" and gate("User-agent: GPTBot\nDisallow: /") == "ai_agent_blocked"
-    assert gate("User-agent: GPTBot\nDisallow: /b") is None and gate("User-agent: *\nContent-Signal: search=yes, ai-train=no") == "robots_content_signal"
+    assert gate("User-agent: GPTBot\nDisallow: /b") is None and gate("User-agent: *\nContent-Signal: ai-input=yes, ai-train=no") == "robots_content_signal"
     assert gate(None, "http://sub.bad.org/") == gate(None, "http://y.org/private/z") == "opt_out_registry" and gate(None, "http://notbad.org/") is None
 
 

@@ -23,7 +23,7 @@ def test_gopher_quality(spark):
         " ".join(f"{w} 12345" for w in words): "gopher_below_alpha_threshold", GOOD.upper(): "gopher_not_enough_stop_words",
     }
     assert reasons(spark, filters.gopher_quality, *cases) == list(cases.values())
-    assert reasons(spark, lambda t: filters.gopher_quality(t, min_words=None, min_mean=None, max_mean=None, min_alpha=None, min_stop_words=None), "!!! ???", "") == [None, "gopher_short_doc"]
+    assert reasons(spark, lambda t: filters.gopher_quality(t, min_words=None, min_mean=None, max_mean=None, min_alpha=None, need_stop_words=None), "!!! ???", "") == [None, "gopher_short_doc"]
     assert reasons(spark, lambda t: filters.gopher_quality(t, max_words=20), GOOD) == ["gopher_long_doc"]
 
 

@@ -50,7 +50,7 @@ def page(body):
 def test_english_web(spark, tmp_path):
     other = GOOD.replace("river", "sea").replace("bridge", "harbour").replace("town", "port").replace("walls", "ships").replace("fields", "islands").replace("children", "sailors").replace("wheat", "oats").replace("winter", "autumn")
     texts = [GOOD.rstrip(".") + ". Write to a.b@mail.org today", GOOD.rstrip(".") + ". Write to a.b@mail.org today", other.rstrip("."), "too short", GOOD.rstrip(".")]
-    parts = b"".join(response(f"http://site{k}.{'bad.com' if k == 4 else 'org'}/p", page(t), ident=str(k)) + record("metadata", b'languages-cld2: {"languages":[{"code":"en"}]}', WARC_Concurrent_To=f"<urn:{k}>") for k, t in enumerate(texts))
+    parts = b"".join(response(f"http://site{k}.{'bad.com' if k == 4 else 'org'}/p", page(t), ident=str(k)) + record("metadata", b'languages-cld2: {"x": 1, "languages":[{"n": 0, "code":"en"}]}', WARC_Concurrent_To=f"<urn:{k}>") for k, t in enumerate(texts))
     (tmp_path / "a.warc.gz").write_bytes(parts)
     out = str(tmp_path / "out")
     docs = recipes.english_web(spark, [str(tmp_path / "a.warc.gz")], out, blocked_domains=("bad.com",), scores=lambda t: F.create_map(F.lit("en"), F.lit(0.99)))
@@ -130,7 +130,7 @@ def test_repetition_query_equals_plain_python(spark, sf):
 
     from corpusmill.operators import filters
 
-    word = regex.compile(r"[\w\p{M}]+(?:['’][\w\p{M}]+)*|[^\w\p{M}\s]")
+    word = regex.compile(r"[\p{M}\w]+(?:['’][\p{M}\w]+)*|[^\p{M}\w\s]")
 
     def reason(t):
         w = word.findall(t)

@@ -25,7 +25,7 @@ def response(url, body, kind="text/html; charset=utf-8", extra="", ident="1", **
 
 def test_jsonl(spark, tmp_path):
     (tmp_path / "d").mkdir()
-    lines = [{"text": "one", "id": 5, "url": "u"}, {"text": ""}, "{broken", {"text": "two", "score": 0.5}, {"id": "x"}]
+    lines = [{"id": 5, "url": "u", "text": "one"}, {"text": ""}, "{broken", {"text": "two", "score": 0.5}, {"id": "x"}]
     with gzip.open(tmp_path / "d" / "a.jsonl.gz", "wt") as f:
         f.write("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines) + "\n\n")
     docs, bad = readers.read_jsonl(spark, str(tmp_path), "text string, id string, url string, score double", defaults={"kind": "web"})
@@ -51,7 +51,7 @@ def test_writers(spark, tmp_path):
     docs = spark.createDataFrame([("a", "1", "", "en", None), ("b", "2", "u", "de", 0.5)], "text string, id string, url string, language string, score double")
     writers.write_jsonl(docs, str(tmp_path / "j"), by=["language"])
     lines = [json.loads(x) for p in sorted((tmp_path / "j").glob("language=*/*.gz")) for x in gzip.open(p, "rt")]
-    assert lines == [{"text": "b", "id": "2", "metadata": {"url": "u", "score": 0.5}}, {"text": "a", "id": "1", "metadata": {}}]
+    assert lines == [{"id": "2", "metadata": {"url": "u", "score": 0.5}, "text": "b"}, {"id": "1", "metadata": {}, "text": "a"}]
     writers.write_parquet(docs, str(tmp_path / "q"), schema={"text": "string", "id": "string", "url": "string", "language": "string", "score": "double", "more": "int"})
     assert spark.read.parquet(str(tmp_path / "q")).columns[-1] == "more"
     with pytest.raises(ValueError):
@@ -66,13 +66,13 @@ def test_writers(spark, tmp_path):
         (tmp_path / "none").mkdir()
         readers.read_documents(spark, str(tmp_path / "none"))
     counts = writers.build_preview(docs, {"short": docs.limit(1).withColumn("filter_reason", F.lit("x"))}, str(tmp_path / "v"), "T")
-    assert counts == {"kept": 2, "removed_short": 1} and "| kept | 2 |" in writers.card("T", counts)
+    assert counts == {"kept": 2, "removed_short": 1} and "| kept | 2 |" in writers.card(counts, "T")
     row = spark.read.parquet(str(tmp_path / "v" / "kept")).orderBy("id").first()
     assert row.text == "a" and json.loads(row.metadata) == {}
 
 
 def test_warc(spark, tmp_path):
-    meta = json.dumps({"languages": [{"code": "te"}, {"code": "en"}]})
+    meta = json.dumps({"n": 2, "languages": [{"code": c} for c in ("te", "en")]})
     parts = [
         record("warcinfo", b"x"), response("http://a/1", "<p>é", ident="1", extra="X-Robots-Tag: noai\r\nServer: s\r\n"), record("metadata", f"languages-cld2: {meta}\r\n".encode(), WARC_Concurrent_To="<urn:1>"),
         response("http://a/2", b"\x89PNG", "image/png", ident="2"), response("http://a/3", "<p>\xe9t\xe9 caf\xe9 na\xefve".encode("latin-1"), ident="3"), response("http://a/4", "x", "text/plain", ident="4", WARC_Identified_Payload_Type="application/xhtml+xml"),
@@ -156,8 +156,11 @@ class Server(http.server.BaseHTTPRequestHandler):
         pass
 
     def do_HEAD(self):
-        self.send_response(200)
-        self.send_header("Content-Length", str(len(self.data)))
+        self.begin(200, len(self.data))
+
+    def begin(self, status, size):
+        self.send_response(status)
+        self.send_header("Content-Length", f"{size}")
         self.end_headers()
 
     def do_GET(self):
@@ -169,17 +172,16 @@ class Server(http.server.BaseHTTPRequestHandler):
             a, _, b = asked.removeprefix("bytes=").partition("-")
             start, end = int(a), int(b) + 1 if b else end
         body = self.data[start:end]
-        self.send_response(206 if asked else 200)
-        self.send_header("Content-Length", str(len(body)))
-        self.end_headers()
+        self.begin(206 if asked else 200, len(body))
         self.wfile.write(body[: self.cut.pop()] if self.cut else body)
 
 
 @pytest.fixture
 def url():
-    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
-    threading.Thread(target=server.serve_forever, daemon=True).start()
-    yield f"http://127.0.0.1:{server.server_port}/x"
+    server = http.server.ThreadingHTTPServer(("localhost", 0), Server)
+    thread = threading.Thread(target=server.serve_forever, daemon=True)
+    thread.start()
+    yield f"http://localhost:{server.server_port}/x"
     server.shutdown()
 
 

@@ -43,7 +43,7 @@ def test_tokenize_write_read_merge_check(spark, tmp_path):
 def test_token_errors_and_packing(spark, tmp_path):
     with pytest.raises(ValueError):
         K.tokenize(F.lit("x"), PATH, eos="<none>")
-    assert K.pack_greedy([3, 3, 5, 1, 9, 1], 6) == [[0, 1], [2, 3], [4], [5]] and K.pack_greedy([], 5) == []
+    assert K.pack_greedy([1, 2, 3, 2, 4, 1, 9, 1], 6) == [[0, 1, 2], [3, 4], [5], [6], [7]] and K.pack_greedy([], 5) == []
     for k, name in enumerate(("a", "b")):
         K._put_triple(tmp_path, name, [np.array([1])], {"tokenizer": str(k), "eos": "e", "token_bytes": 2})
     with pytest.raises(ValueError):
