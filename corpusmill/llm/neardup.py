@@ -151,7 +151,7 @@ def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     return links
 
 
-def _across_blocks(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across_blocks(named: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Links (x, y) between classes of different components that share a large bucket. named: (key, rep, label), mixed large buckets only."""
 
     def link(table):
@@ -159,11 +159,12 @@ def _across_blocks(named: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["x", "y"])
 
     counts = named.groupBy("key", "label").count()
-    most = counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("dom"))
+    # Tables, not aggregates, on both sides of a join: Spark then splits a key that has most rows.
+    most = scratch.keep(counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("dom")))
     rows = named.join(most, "key").groupBy("dom", "rep").agg(F.any_value("label").alias("label"))
-    rows = rows.withColumn("own", F.col("dom") == F.col("label"))
+    rows = scratch.keep(rows.withColumn("own", F.col("dom") == F.col("label")))
     blocks = rows.groupBy("dom").agg(*[F.ceil(F.count_if(x) / BLOCK).cast("int").alias(n) for n, x in (("na", F.col("own")), ("no", ~F.col("own")))])
-    rows = rows.join(blocks, "dom").where("no > 0").withColumn("i", F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("na")).otherwise(F.col("no"))).cast("int"))
+    rows = rows.join(scratch.keep(blocks), "dom").where("no > 0").withColumn("i", F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("na")).otherwise(F.col("no"))).cast("int"))
     spot = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("bi"), j.alias("bj"), left.alias("left"), right.alias("right"))
     yes, no, i = F.lit(True), F.lit(False), F.col("i")
     upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
@@ -223,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     left = scratch.keep(named.join(mixed, "key"))
     a, b = (left.where(F.col("classes") <= SMALL).alias(k) for k in "ab")
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).distinct()
-    more = scratch.keep(_verified(across, sets, percent).union(_across_blocks(left.where(F.col("classes") > SMALL), sets, percent)))
+    more = scratch.keep(_verified(across, sets, percent).union(_across_blocks(left.where(F.col("classes") > SMALL), sets, percent, scratch)))
     if more.limit(1).count():
         labels = components(links.union(more), scratch)
     scratch.drop(members, named, mixed, left, shared, sets, stars)
@@ -231,6 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     found = classes.join(labels, classes.rep == labels.node, "left").select("h1", "h2", F.col("n_shingles").alias("n"), "copies", "rep", F.coalesce("label", "rep").alias("label"))
     # Only classes of several rows, or linked with a lower one, differ from "its own component".
     told = scratch.keep(found.where("copies > 1 or label < rep").select("h1", "h2", "n", "label"))
+    scratch.drop(classes, links, more, labels)
     rows = signed.select("id", "n_shingles", "h1", "h2")
     same = (rows.h1 == told.h1) & (rows.h2 == told.h2) & (rows.n_shingles == told.n) & rows.id.isNotNull()
     out = rows.join(told, same, "left").select("id", "n_shingles", F.coalesce("label", "id").alias("component_id"))
