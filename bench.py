@@ -1,4 +1,4 @@
-"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: median of three runs after a warm-up, results written to Spark's noop sink."""
+"""Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: median of two runs (BENCH_RUNS) after a warm-up, results written to Spark's noop sink."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ HEADLINE = [
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    names, runs = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","), int(os.environ.get("BENCH_RUNS", "3"))
+    names, runs = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(","), int(os.environ.get("BENCH_RUNS", "2"))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "2m").config("spark.sql.files.openCostInBytes", "64k").getOrCreate()

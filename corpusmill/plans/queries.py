@@ -212,7 +212,8 @@ def policy_registry(spark, sf):
     return _table(spark, sf, "pages").select("page_id", P.in_registry(F.col("url"), _REGISTRY).alias("opted_out"))
 
 
-@query()
+@query(r"""
+    select page_id, case when page_id % 7 = 0 then 'x_robots_noai' when regexp_matches(lower(html), '<meta\s[^>]*name=[''"](robots|googlebot)[''"][^>]*\bnoai\b') then 'meta_noai' end as policy_reason, true as robots_unknown from pages""")
 def page_opt_out(spark, sf):
     """Signals of headers and meta tags; every seventh page gets a header that opts out."""
     head = F.when(F.col("page_id") % 7 == 0, F.create_map(F.lit("X-Robots-Tag"), F.lit("noai"))).otherwise(F.create_map(F.lit("Server"), F.lit("x")))
@@ -327,6 +328,41 @@ def holdout_split_blake(spark, sf):
     return split.holdout_split(_table(spark, sf, "documents"), 0.05)[1].select("doc_id")
 
 
+@query(f"select doc_id, array_to_string({_lines(_strip('text'))}, ' ') as line from documents")
+def flatten_text(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", formatters.flatten(_text()).alias("line"))
+
+
+@query(r"""
+    select page_id, case when regexp_matches(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '(^|\.)example\.org$') then 'domain' when url = (select url from pages order by page_id limit 1) then 'url' end as list_reason from pages""")
+def url_lists(spark, sf):
+    """Domain and URL lists as tables of any size."""
+    pages = _table(spark, sf, "pages")
+    first = pages.orderBy("page_id").limit(1).select(F.lit("url").alias("kind"), F.regexp_replace("url", r"^.*?://", "").alias("entry"))
+    lists = spark.createDataFrame([("domain", "example.org")], "kind string, entry string").union(first)
+    return filters.url_lists_filter(pages, lists).select("page_id", "list_reason")
+
+
+@query()
+def telugu_quality(spark, sf):
+    return apply_steps(_table(spark, sf, "documents"), filters.telugu_steps()).select("doc_id", "drop_step", "drop_reason")
+
+
+@query()
+def fix_encoding(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", formatters.fix_encoding(_text()).alias("text"))
+
+
+@query()
+def quality_classifier(spark, sf):
+    """A classifier of the quality labels, scoring every document."""
+    from ..operators.classify import apply_model, train_classifier
+
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    labelled = docs.join(_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return apply_model(docs, train_classifier(labelled, bits=14, steps=10), "score").select("doc_id", "score")
+
+
 _FUNNEL = ["length", "gopher quality", "repeated lines"]
 
 
