@@ -112,32 +112,31 @@ def verdict(rules: tuple[Rule, ...], measure) -> Column:
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations", "n_stop_words")
 
 
-def _judged(docs: DataFrame, rules: tuple[Rule, ...], base_rules: tuple[Rule, ...], text_col: str) -> tuple[DataFrame, Column]:
-    """docs with a column __quality of measures, and the struct of measures and verdict over it."""
-    m = F.col("__quality")
-    at = {"n_lines": m["lines"]["n"], "n_dup_lines": m["lines"]["dup"]}
-    measure = lambda k: at[k] if k in at else m[k]
-    base = verdict(base_rules, measure)
-    reason = F.coalesce(base, verdict(rules, measure))
-    fields = [measure(k).alias(k) for k in NAMES]
-    found = F.struct(*fields, base.isNotNull().alias("base_failed"), reason.alias("reason"), reason.isNull().alias("kept"))
-    return docs.withColumn("__quality", measures(F.col(text_col).cast("string"))), found
+def judged(text: Column, rules: tuple[Rule, ...] = RULES, base_rules: tuple[Rule, ...] = BASE_RULES) -> Column:
+    """struct of measures, base_failed, reason and kept. One expression: measures are taken once wherever the optimizer moves it, into a filter too."""
+
+    def of(m: Column) -> Column:
+        at = {"n_lines": m["lines"]["n"], "n_dup_lines": m["lines"]["dup"]}
+        measure = lambda k: at[k] if k in at else m[k]
+        fields = [measure(k).alias(k) for k in NAMES]
+        base, reason = verdict(base_rules, measure), verdict(rules, measure)
+        return F.struct(*fields, base.isNotNull().alias("base_failed"), F.coalesce(base, reason).alias("reason"), F.coalesce(base, reason).isNull().alias("kept"))
+
+    return let(measures(text.cast("string")), of)
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base_rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text", out: str = "quality") -> DataFrame:
     """The input with one struct column, `out`: the measures, base_failed, reason (null: kept) and kept.
 
     Words are runs of other than ASCII white space. A null, empty or blank text has no words and fails. One row out for each row
-    in, repeated rows and null ids included; an existing column named `out` is replaced, others pass through (names with __ in front are reserved).
+    in, repeated rows and null ids included; an existing column named `out` is replaced, others pass through.
     """
-    held, found = _judged(docs, rules, base_rules, text_col)
-    return held.withColumn(out, found).drop("__quality")
+    return docs.withColumn(out, judged(F.col(text_col), rules, base_rules))
 
 
 def accepted(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base_rules: tuple[Rule, ...] = BASE_RULES, text_col: str = "text") -> DataFrame:
     """The rows that no rule rejects, with the input's columns and no other."""
-    held, found = _judged(docs, rules, base_rules, text_col)
-    return held.where(found["kept"]).drop("__quality")
+    return docs.where(judged(F.col(text_col), rules, base_rules)["kept"])
 
 
 def _sql_rule(r: Rule) -> str:
