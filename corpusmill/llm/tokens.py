@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 300_000
 BARE = "\x01"
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")  # letters in every Unicode version
 _SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
