@@ -25,10 +25,11 @@ def _worded(line: Column) -> Column:
     return line.rlike(r"[^ \t-\r]")
 
 
-def boilerplate(pages: DataFrame, host: Column, text: Column, percent: int = 8, min_pages: int = 5) -> DataFrame:
+def boilerplate(pages: DataFrame, host: Column, text: Column, percent: int = 8, min_pages: int = 5, scratch: Scratch | None = None) -> DataFrame:
     """(host, line, pages, total): hashes of lines with a word that lie on at least min_pages pages and over percent % of their host's pages. A null host has no lines here."""
     rows = pages.select(host.alias("host"), text.alias("text")).where("host is not null")
-    totals = rows.groupBy("host").agg(F.count("*").alias("total"))
+    # A table, not an aggregate: where hosts are too many to broadcast, Spark can then split a host with most lines.
+    totals = (scratch or Scratch(pages.sparkSession, "lines")).keep(rows.groupBy("host").agg(F.count("*").alias("total")))
     hashes = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _worded), lambda x: F.xxhash64(x)))
     counts = rows.where("text is not null").select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     return counts.join(totals, "host").where(100 * F.col("pages") > percent * F.col("total")).select("host", "line", "pages", "total")
@@ -43,7 +44,7 @@ def drop_boilerplate(docs: DataFrame, percent: int = 8, min_pages: int = 5, host
     """
     scratch = Scratch(docs.sparkSession, "lines")
     host, text = F.col(host_col).cast("string"), F.col(text_col).cast("string")
-    found = scratch.keep(boilerplate(docs, host, text, percent, min_pages))
+    found = scratch.keep(boilerplate(docs, host, text, percent, min_pages, scratch))
     # At most (lines a page) * 100 / percent hashes for a host.
     lists = found.groupBy("host").agg(F.collect_list("line").alias("__drop")).withColumnRenamed("host", "__host")
     rows = docs.withColumn("__h", host)
