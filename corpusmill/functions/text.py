@@ -104,6 +104,13 @@ def ngrams(words: Column, n: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= n, windows(w)).otherwise(F.array().cast("array<string>")))
 
 
+def ngram_hashes(words: Column, n: int) -> Column:
+    """A 64-bit hash of each n-word window."""
+    windows = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - n + 1), lambda i: F.xxhash64(F.slice(h, i, n)))
+    hashed = lambda w: let(F.transform(w, lambda x: F.xxhash64(x)), windows)
+    return let(words, lambda w: F.when(F.size(w) >= n, hashed(w)).otherwise(F.array().cast("array<bigint>")))
+
+
 def informative(gram: Column, n: int) -> Column:
     """Whether at least half of the n words have more than one character."""
     return 2 * F.size(F.filter(F.split(gram, " "), lambda w: F.length(w) > 1)) >= n

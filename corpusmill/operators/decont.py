@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from ..functions import text as T
 
@@ -16,17 +17,21 @@ def ngram_index(items: DataFrame, n: int = N, item: str = "item_id", text: str =
     return items.select(F.col(item).alias("item_id"), F.explode(grams).alias("gram"))
 
 
-def _candidates(docs: DataFrame, index: DataFrame, n: int, doc: str, text: str) -> DataFrame:
-    """(doc, gram): informative n-grams of documents that are in the index, distinct. Grams of documents meet the index as hashes; the join is broadcast only if the index is small."""
-    known = index.select("gram").distinct().withColumn("__h", F.xxhash64("gram"))
-    grams = F.array_distinct(F.filter(T.ngrams(T.simple_words(F.col(text)), n), lambda g: T.informative(g, n)))
-    rows = docs.select(F.col(doc), F.explode(grams).alias("gram"))
-    return rows.withColumn("__h", F.xxhash64("gram")).join(known, ["__h", "gram"]).drop("__h")
+def _hash(gram: Column, n: int) -> Column:
+    return F.get(T.ngram_hashes(F.split(gram, " "), n), F.lit(0))
 
 
-def gram_counts(docs: DataFrame, index: DataFrame, n: int = N, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """(gram, documents): how many documents hold each n-gram of the index."""
-    return _candidates(docs, index, n, doc, text).groupBy("gram").agg(F.count("*").alias("documents"))
+def matches(docs: DataFrame, index: DataFrame, n: int = N, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, gram): informative n-grams of documents that are in the index, distinct. Documents send 64-bit hashes of their n-grams to the join, which Spark broadcasts only
+    if the index is small; whether a gram is informative is asked of the index alone."""
+    known = index.select("gram").distinct().where(T.informative(F.col("gram"), n)).select("gram", _hash(F.col("gram"), n).alias("__h"))
+    rows = docs.select(F.col(doc), F.explode(F.array_distinct(T.ngram_hashes(T.simple_words(F.col(text)), n))).alias("__h"))
+    return rows.join(known, "__h").select(doc, "gram")
+
+
+def gram_counts(docs: DataFrame, index: DataFrame, n: int = N, doc: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
+    """(gram, documents): how many documents hold each n-gram of the index. `found` may be a kept table of matches()."""
+    return (matches(docs, index, n, doc, text) if found is None else found).groupBy("gram").agg(F.count("*").alias("documents"))
 
 
 def shared_ngrams(index: DataFrame, max_items: int = LIMIT) -> DataFrame:
@@ -39,12 +44,13 @@ def contaminating(index: DataFrame, counts: DataFrame, max_documents: int = LIMI
     return counts.where(F.col("documents") <= max_documents).select("gram").join(shared_ngrams(index, max_items), "gram", "left_anti")
 
 
-def contaminated(docs: DataFrame, index: DataFrame, counts: DataFrame | None = None, n: int = N, max_documents: int = LIMIT, max_items: int = LIMIT, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, index: DataFrame, counts: DataFrame | None = None, n: int = N, max_documents: int = LIMIT, max_items: int = LIMIT, doc: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """Ids of documents with a match that isn't ignored. Without counts only templates are."""
     ignored = shared_ngrams(index, max_items)
     if counts is not None:
         ignored = ignored.union(counts.where(F.col("documents") > max_documents).select("gram")).distinct()
-    return _candidates(docs, index, n, doc, text).join(ignored, "gram", "left_anti").select(doc).distinct()
+    found = matches(docs, index, n, doc, text) if found is None else found
+    return found.join(ignored, "gram", "left_anti").select(doc).distinct()
 
 
 def items_with(index: DataFrame, grams: DataFrame) -> DataFrame:
@@ -54,7 +60,7 @@ def items_with(index: DataFrame, grams: DataFrame) -> DataFrame:
 def covered_fraction(texts: DataFrame, grams: DataFrame, n: int = N, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, covered): the share of words inside an n-gram of `grams`, for texts with at least one."""
     words = texts.select(F.col(key), T.simple_words(F.col(text)).alias("w"))
-    at = words.select(key, F.size("w").alias("words"), F.posexplode(T.ngrams(F.col("w"), n)).alias("pos", "gram"))
-    hits = at.join(grams.select("gram").distinct(), "gram", "left_semi")
+    at = words.select(key, F.size("w").alias("words"), F.posexplode(T.ngram_hashes(F.col("w"), n)).alias("pos", "__h"))
+    hits = at.join(grams.select("gram").distinct().select(_hash(F.col("gram"), n).alias("__h")), "__h", "left_semi")
     covered = hits.select(key, "words", F.explode(F.sequence(F.col("pos"), F.col("pos") + n - 1)).alias("word")).distinct()
     return covered.groupBy(key, "words").agg(F.count("*").alias("n")).select(key, (F.col("n") / F.col("words")).alias("covered"))

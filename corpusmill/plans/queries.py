@@ -287,21 +287,25 @@ def decont_counts(spark, sf):
     return decont.gram_counts(_table(spark, sf, "documents"), decont.ngram_index(_table(spark, sf, "benchmark"), _N), _N)
 
 
+def _leaky(docs: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+    index = decont.ngram_index(items, _N)
+    found = keep(decont.matches(docs, index, _N))
+    return decont.contaminated(docs, index, decont.gram_counts(docs, index, _N, found=found), _N, max_documents=limit, found=found)
+
+
 def _decont_filter(limit: int) -> str:
     return _DECONT.replace("{items}", "10") + f" select distinct doc_id from d where g not in (select g from s) and g not in (select g from c where documents > {limit})"
 
 
 @query(_decont_filter(10))
 def decont_filter(spark, sf):
-    docs, index = _table(spark, sf, "documents"), decont.ngram_index(_table(spark, sf, "benchmark"), _N)
-    return decont.contaminated(docs, index, decont.gram_counts(docs, index, _N), _N)
+    return _leaky(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), 10)
 
 
 @query(_decont_filter(1))
 def decont_filter_rare(spark, sf):
     """n-grams of more than one document count as boilerplate."""
-    docs, index = _table(spark, sf, "documents"), decont.ngram_index(_table(spark, sf, "benchmark"), _N)
-    return decont.contaminated(docs, index, decont.gram_counts(docs, index, _N), _N, max_documents=1)
+    return _leaky(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), 1)
 
 
 @query(_DECONT.replace("{items}", "10") + " select distinct item_id from i where g in (select g from c where documents <= 10) and g not in (select g from s)")
@@ -480,10 +484,9 @@ def language_selection(spark, sf):
 def flagship(spark, sf):
     """Quality and repetition rules, exact dedup, decontamination against the benchmark."""
     docs = _table(spark, sf, "documents")
-    index = decont.ngram_index(_table(spark, sf, "benchmark"), _N)
     good = apply_steps(docs, [Step("gopher quality", lambda _: filters.gopher_quality(_text())), Step("repetition", lambda _: filters.repetition_lines(_text()))]).where("drop_step is null")
     unique = dedup.exact_dedup(good.select("doc_id", "text"))[0]
-    bad = decont.contaminated(docs, index, decont.gram_counts(docs, index, _N), _N)
+    bad = _leaky(docs, _table(spark, sf, "benchmark"), 10)
     return unique.join(bad, "doc_id", "left_anti").select("doc_id", "text")
 
 
