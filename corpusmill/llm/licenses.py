@@ -7,6 +7,9 @@ With one coordinate a band and BANDS bands, a template that fills a share s of a
 1 - (1 - s) ** BANDS: over 0.999999 for a whole template in the largest window that it is sought in. A candidate is a match if at least `percent` % of the template's shingles are
 in the window.
 
+A template of fewer than WIDTH words is one shingle of its own length. Texts are hashed at those lengths too, and every place of that shingle is a
+match: it needs no window, and no band can miss it.
+
 Templates are a fixed list of at most MAX_TEMPLATES; they travel with the task. Documents are never shuffled.
 """
 
@@ -51,6 +54,9 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Notices that grant no license: they are matches, but not among a document's licenses.
+NOTICES = {"All-rights-reserved": ["All rights reserved."]}
+
 
 def collision_probability(share: float, bands: int = BANDS) -> float:
     """That a window of which the template fills this share of shingles meets it in a band."""
@@ -62,15 +68,17 @@ def words_and_offsets(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [m[0].lower() for m in found], [m.span() for m in found]
 
 
-def shingles(words: list[str]) -> np.ndarray:
-    """64-bit hashes of the WIDTH-word shingles, in order; of fewer words, the one shingle of all."""
+def word_hashes(words: list[str]) -> np.ndarray:
     import xxhash
 
-    if not words:
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+
+
+def shingles(h: np.ndarray, n: int = WIDTH) -> np.ndarray:
+    """64-bit hashes of the n-word shingles of words with these hashes, in order; none of fewer words."""
+    if len(h) < n:
         return np.empty(0, np.uint64)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-    n = min(WIDTH, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
+    out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
     return out
@@ -83,10 +91,16 @@ class Scanner:
         self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: bands - 1]]), bands)
         self.classes: dict[int, dict] = {}
         self.sets = []
+        #: Templates under WIDTH words: words -> shingle -> names.
+        self.short: dict[int, dict[int, list[str]]] = {}
         for name, text in templates:
-            s = np.unique(shingles(words_and_offsets(text)[0]))
-            if not len(s):
+            h = word_hashes(words_and_offsets(text)[0])
+            if not len(h):
                 continue
+            if len(h) < WIDTH:
+                self.short.setdefault(len(h), {}).setdefault(int(shingles(h, len(h))[0]), []).append(name)
+                continue
+            s = np.unique(shingles(h))
             size = 2
             while size < 2 * len(s):
                 size *= 2
@@ -109,15 +123,29 @@ class Scanner:
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, percent of the template's shingles) by place, the best window of each template and of overlapping windows."""
         words, spans = words_and_offsets(text)
-        h = shingles(words)
+        hashed = word_hashes(words)
+        found, brief = self.windows(shingles(hashed), words, spans), []
+        for n, names in self.short.items():
+            h = shingles(hashed, n)
+            for i in np.flatnonzero(np.isin(h, np.fromiter(names, np.uint64, len(names)))):
+                brief += [(100, name, spans[i][0], spans[i + n - 1][1]) for name in names[int(h[i])]]
+        order = lambda x: (-x[0], -(x[3] - x[2]), x[2], x[1])
+        best: list[tuple] = []
+        for score, name, start, end in [*sorted(found, key=order), *sorted(brief, key=order)]:
+            if all(end <= b[1] or b[2] <= start for b in best):
+                best.append((name, start, end, score))
+        return sorted(best, key=lambda x: x[1])
+
+    def windows(self, h: np.ndarray, words: list[str], spans: list[tuple[int, int]]) -> list[tuple]:
+        """(percent, license, start, end) of each window and template of WIDTH words or more that match."""
         if not len(h) or not len(self.known):
             return []
         # A window without a template's shingle fails verification whatever its bands say: its signature isn't taken.
         place = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         hits = np.flatnonzero(self.known[place] == h)
+        found: list[tuple] = []
         if not len(hits):
-            return []
-        found = []
+            return found
         for size, at in self.classes.items():
             step, keys = size // 2, np.array(at["keys"])
             first = {int(x) // step for x in hits} | {max(0, int(x) // step - 1) for x in hits}
@@ -133,20 +161,16 @@ class Scanner:
                         where = np.flatnonzero(inside) + lo
                         last = min(int(where[-1]) + WIDTH, len(words)) - 1
                         found.append((100 * got // len(s), name, spans[int(where[0])][0], spans[last][1]))
-        best: list[tuple] = []
-        for score, name, start, end in sorted(found, key=lambda x: (-x[0], -(x[3] - x[2]), x[2], x[1])):
-            if all(end <= b[1] or b[2] <= start for b in best):
-                best.append((name, start, end, score))
-        return sorted(best, key=lambda x: x[1])
+        return found
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent: int = PERCENT, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_matches, licenses and matches (array of license, start, end, percent; code points, end exclusive).
 
-    licenses lists the names found, sorted and comma-joined. Of overlapping matches the one with the higher percent, then the longer, then the
-    earlier, counts. Null, empty and wordless texts have none. Repeated rows get the same; other columns are not read.
+    licenses lists the names found but those of NOTICES, sorted and comma-joined. Of overlapping matches the one with the higher percent, then the longer,
+    then the earlier, counts; templates under WIDTH words give way to all others. Null, empty and wordless texts have none. Repeated rows get the same; other columns are not read.
     """
-    listed = sorted((name, text) for name, texts in (TEMPLATES if templates is None else templates).items() for text in texts)
+    listed = sorted((name, text) for name, texts in (TEMPLATES | NOTICES if templates is None else templates).items() for text in texts)
     if len(listed) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     key = uuid.uuid4().hex
@@ -163,5 +187,5 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, match)], ["id", "matches"])
 
     out = rows.mapInArrow(run, "id long, matches array<struct<license string, start long, end long, percent int>>")
-    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",")
+    names = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["license"]), lambda name: ~name.isin(*NOTICES)))), ",")
     return out.select(F.col("id").alias(id_col), F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), "matches")

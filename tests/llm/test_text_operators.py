@@ -207,3 +207,18 @@ def test_license_op_and_awkward(spark, sf):
     for r in op6_license_scan(spark, sf).collect():
         assert set(r.licenses.split(",")) - {""} == {k for k, v in notice.items() if v in texts[r.doc_id]}
     assert licenses.scan(awkward(spark)).count() == awkward(spark).count() and licenses.scan(empty(spark)).count() == 0
+
+
+def test_short_templates_are_found_in_long_texts(spark, sf):
+    long = f"{PROSE}. ALL rights\nreserved, {PROSE}"
+    (m,) = licenses.scan(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()[0].matches
+    assert (m.license, long[m.start : m.end], m.percent) == ("All-rights-reserved", "ALL rights\nreserved", 100)
+    made = {"One": ["zork"], "Two": ["more zork here", "see number no way"], "Long": [f"zork {PROSE}"]}
+    rows = [(1, "zork"), (2, f"more zork here, zork {PROSE}"), (3, "a more zork here b"), (4, "zorks more here"), (5, f"see number zork no way {PROSE}")]
+    got = {r.doc_id: r.matches for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), made).collect()}
+    assert [m.license for m in got[1]] == ["One"] and [m.license for m in got[3]] == ["Two"] and got[4] == []
+    assert [m.license for m in got[2]] == ["Two", "Long"]
+    assert [m.license for m in got[5]] == ["One", "Long"]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    noticed = {r.doc_id for r in op6_license_scan(spark, sf).collect() if "All-rights-reserved" in r.matches}
+    assert noticed == {k for k, t in texts.items() if "All rights reserved." in (t or "")} and noticed
