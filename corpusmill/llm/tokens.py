@@ -3,7 +3,8 @@
 Byte-level BPE never joins a space to the non-space before it, so a text may be cut before any space that follows a
 non-space, or that precedes a non-space; likewise between a letter and a mark that white space follows, and around a line break between
 non-spaces. The parts' ids, put together, are the text's ids. Texts with a space between two white-space characters, or between one and the
-end, are encoded whole. Parts without a space before them carry the mark BARE; texts that hold that character are encoded whole too.
+end, are encoded whole. Parts without a space before them carry the mark BARE; texts that hold that character are encoded whole too, and so are
+texts that hold one of the tokenizer's added tokens, which become that token's id, as the library has it.
 """
 
 from __future__ import annotations
@@ -25,17 +26,20 @@ BROKEN = r"([^\s\p{Z}\x{85}\x{1c}-\x{1f}])\n([^\s\p{Z}\x{85}\x{1c}-\x{1f}])"
 
 
 class Encoder:
-    """texts -> ids of `dtype`, without special tokens."""
+    """texts -> ids of `dtype`; no special tokens are added."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         t = self.tokenizer = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
+        added = [x.content for x in t.get_added_tokens_decoder().values()]
+        self.whole = "|".join([WHOLE, *map(re.escape, added)])
         size = t.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.starts = np.array([(t.id_to_token(k) or "").startswith("Ġ") for k in range(size)])
         self.by_word = t.normalizer is None and "ByteLevel(add_prefix_space=False" in str(t.pre_tokenizer) and "use_regex=True" in str(t.pre_tokenizer)
+        # Words are encoded in lines of many, where an added token with white space could arise.
+        self.by_word = self.by_word and not any(re.search(r"\s", x) for x in added)
         self.words: dict[str, bytes] = {}
 
         if self.by_word:
@@ -97,7 +101,7 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         if not self.by_word:
             return [np.frombuffer(x, self.dtype) for x in self.plain(texts.to_pylist())]
-        aside = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, WHOLE)))
+        aside = np.flatnonzero(np.asarray(pc.match_substring_regex(texts, self.whole)))
         whole = dict(zip(aside.tolist(), self.plain(texts.take(pa.array(aside)).to_pylist()), strict=True))
         if whole:
             texts = pa.array(["" if k in whole else x for k, x in enumerate(texts.to_pylist())], texts.type)

@@ -31,6 +31,22 @@ def test_cached_encoding_equals_plain(encode, spark, sf):
     assert encode(pa.array([], pa.string())) == [] or len(encode(pa.array([], pa.string()))) == 1
 
 
+def test_added_tokens_are_as_the_library_has_them(spark, encode, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "a<|endoftext|>.\nB <|endoftext|><|endoftext|> c  ", "<|endoftext|", "x <|endoftext |> y", "plain words, here."]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [437, 220, 50256, 1306]
+    assert [x.tolist() for x in encode(pa.array(texts * 2))] == want * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tokenfiles.write_token_files(docs, str(tmp_path / "a"), tokenizer_path(), 2)
+    back = sorted(tokenfiles.read_token_files(spark, str(tmp_path / "a")).collect())
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in back] == [[*x, 2] for x in want]
+    assert [r.start for r in back] == np.cumsum([0, *[len(x) + 1 for x in want[:-1]]]).tolist()
+    check_packed(packing.pack(docs, tokenizer_path(), 0).collect(), {i: np.array([*x, 0], "<u4") for i, x in enumerate(want)})
+
+
 @pytest.mark.parametrize("ids", [[], [7], [1] * 300, list(range(70_000)), [3, 3, 2, 2, 9]])
 def test_block_code_round_trip(ids):
     a = np.array(ids, np.uint32)
