@@ -91,6 +91,8 @@ class Scanner:
         self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: bands - 1]]), bands)
         self.classes: dict[int, dict] = {}
         self.sets = []
+        #: Of each set's shingles: the first place in the template, and how often they are in it.
+        self.order: list[tuple[np.ndarray, np.ndarray]] = []
         #: Templates under WIDTH words: words -> shingle -> names.
         self.short: dict[int, dict[int, list[str]]] = {}
         for name, text in templates:
@@ -100,7 +102,7 @@ class Scanner:
             if len(h) < WIDTH:
                 self.short.setdefault(len(h), {}).setdefault(int(shingles(h, len(h))[0]), []).append(name)
                 continue
-            s = np.unique(shingles(h))
+            s, first, times = np.unique(shingles(h), return_index=True, return_counts=True)
             size = 2
             while size < 2 * len(s):
                 size *= 2
@@ -108,6 +110,7 @@ class Scanner:
             at["keys"].append(self.signature(s))
             at["owner"].append(len(self.sets))
             self.sets.append((name, s))
+            self.order.append((first, times))
         #: Only shingles of some template can make a window's minimum equal a template's and pass verification.
         self.known = np.unique(np.concatenate([s for _, s in self.sets])) if self.sets else np.empty(0, np.uint64)
 
@@ -120,6 +123,56 @@ class Scanner:
             out = np.minimum(out, self.shifted[self.places(hashes[k : k + 4096])].min(axis=0))
         return out
 
+    def occurrences(self, owner: int, hashes: np.ndarray, where: np.ndarray) -> list[tuple]:
+        """(first place, last place, distinct shingles, falls) of each occurrence of a set in a window that has these of its shingles at these places.
+
+        Where no shingle is more often in the window than in the template, all are one occurrence. Otherwise it is split: the span with the fewest
+        falls (shingles before one of an earlier place in the template), then the shortest, that reaches the percentage is taken with what follows or
+        precedes it in order, and then the rest on both sides likewise.
+        """
+        s = self.sets[owner][1]
+        need = -(-self.percent * len(s) // 100)
+        first, times = self.order[owner]
+        ids = np.searchsorted(s, hashes)
+        counts = np.bincount(ids, minlength=len(s))
+        if (got := int((counts > 0).sum())) < need or not got:
+            return []
+        place = first[ids]
+        fall = np.concatenate([[0], np.cumsum(place[1:] < place[:-1])]).tolist()
+        if (counts <= times).all():
+            return [(int(where[0]), int(where[-1]), got, fall[-1])]
+        ids, place, at = ids.tolist(), place.tolist(), where.tolist()
+        out, open_ = [], [(0, len(ids))]
+        while open_:
+            lo, hi = open_.pop()
+            best, held, i = None, {}, lo
+            for j in range(lo, hi):
+                held[ids[j]] = held.get(ids[j], 0) + 1
+                while held[ids[i]] > 1:
+                    held[ids[i]] -= 1
+                    i += 1
+                a, few, gone = i, len(held), {}
+                # Shortest span that ends here: shingles may go from its start while enough are left.
+                while few > need and a < j:
+                    gone[ids[a]] = gone.get(ids[a], 0) + 1
+                    few -= gone[ids[a]] == held[ids[a]]
+                    a += 1
+                if few >= need:
+                    best = min(x for x in (best, (fall[j] - fall[a], at[j] - at[a], a, j)) if x)
+            if best is None:
+                continue
+            _, _, a, b = best
+            have = set(ids[a : b + 1])
+            while b + 1 < hi and ids[b + 1] not in have and place[b + 1] > place[b]:
+                b += 1
+                have.add(ids[b])
+            while a > lo and ids[a - 1] not in have and place[a - 1] < place[a]:
+                a -= 1
+                have.add(ids[a])
+            out.append((at[a], at[b], len(have), fall[b] - fall[a]))
+            open_ += [(lo, a), (b + 1, hi)]
+        return out
+
     def scan(self, text: str) -> list[tuple]:
         """(license, start, end, percent of the template's shingles) by place, the best window of each template and of overlapping windows."""
         words, spans = words_and_offsets(text)
@@ -144,6 +197,7 @@ class Scanner:
         place = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
         hits = np.flatnonzero(self.known[place] == h)
         found: list[tuple] = []
+        seen: dict[int, set[tuple]] = {}
         if not len(hits):
             return found
         for size, at in self.classes.items():
@@ -154,13 +208,17 @@ class Scanner:
                 window = h[lo:hi]
                 near = np.flatnonzero((keys == self.signature(window)).any(axis=1))
                 for i in near:
-                    name, s = self.sets[at["owner"][i]]
-                    inside = np.isin(window, s)
-                    got = len(np.unique(window[inside]))
-                    if 100 * got >= self.percent * len(s):
-                        where = np.flatnonzero(inside) + lo
-                        last = min(int(where[-1]) + WIDTH, len(words)) - 1
-                        found.append((100 * got // len(s), name, spans[int(where[0])][0], spans[last][1]))
+                    owner = at["owner"][i]
+                    inside = np.flatnonzero(np.isin(window, self.sets[owner][1]))
+                    for a, b, got, falls in self.occurrences(owner, window[inside], inside):
+                        seen.setdefault(owner, set()).add((falls, -got, b - a, a + lo, b + lo))
+        for owner, places in seen.items():
+            name, s = self.sets[owner]
+            taken: list[tuple] = []
+            for _, got, _, a, b in sorted(places):
+                if all(b + WIDTH <= x or y + WIDTH <= a for x, y in taken):
+                    taken.append((a, b))
+                    found.append((-100 * got // len(s), name, spans[a][0], spans[min(b + WIDTH, len(words)) - 1][1]))
         return found
 
 
@@ -168,7 +226,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent
     """One row per input row: id_col, n_matches, licenses and matches (array of license, start, end, percent; code points, end exclusive).
 
     licenses lists the names found but those of NOTICES, sorted and comma-joined. Of overlapping matches the one with the higher percent, then the longer,
-    then the earlier, counts; templates under WIDTH words give way to all others. Null, empty and wordless texts have none. Repeated rows get the same; other columns are not read.
+    then the earlier, counts (of one template, the one in the template's order, then the higher percent, then the shorter); templates under WIDTH words give way to all others. Null, empty and wordless texts have none. Repeated rows get the same; other columns are not read.
     """
     listed = sorted((name, text) for name, texts in (TEMPLATES | NOTICES if templates is None else templates).items() for text in texts)
     if len(listed) > MAX_TEMPLATES:

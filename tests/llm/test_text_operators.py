@@ -222,3 +222,22 @@ def test_short_templates_are_found_in_long_texts(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     noticed = {r.doc_id for r in op6_license_scan(spark, sf).collect() if "All-rights-reserved" in r.matches}
     assert noticed == {k for k, t in texts.items() if "All rights reserved." in (t or "")} and noticed
+
+
+def test_repeated_license_texts_are_matches_of_their_own():
+    mit, apache = licenses.TEMPLATES["MIT"][1], licenses.TEMPLATES["Apache-2.0"][0]
+    scanner = licenses.Scanner(sorted((name, t) for name, texts in licenses.TEMPLATES.items() for t in texts), licenses.PERCENT, licenses.BANDS)
+    found = lambda text: [(name, text[a:b], score) for name, a, b, score in scanner.scan(text)]
+    whole, notice = ("MIT", mit.rstrip(), 100), ("Apache-2.0", apache.rstrip("."), 100)
+    assert whole[1] == mit
+    for k in range(0, 130, 13):
+        before = " ".join(f"f{i}" for i in range(k))
+        for gap in ("", " in between", " " + " ".join(PROSE.split()[:25])):
+            assert found(f"{before} {mit}{gap} {apache} {mit} {before}") == [whole, notice, whole]
+            assert found(f"{before} {mit}{gap} {mit} {mit} {before}") == [whole] * 3
+    # Edits at the head of one copy and the tail of the next.
+    words = mit.split()
+    pair = f"{' '.join(['x', *words[3:]])} {' '.join([*words[:-3], 'y'])}"
+    assert [name for name, *_ in found(pair)] == ["MIT", "MIT"]
+    # Half a copy before a whole one is no match.
+    assert found(" ".join(words[:25]) + " and " + mit) == [whole]
