@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.column import Column
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -23,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset and all of Spark is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         held = tempfile.TemporaryDirectory(prefix="corpusmill-", ignore_cleanup_errors=True)
         atexit.register(held.cleanup)
@@ -60,6 +63,12 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def as_id(df: DataFrame, name: str) -> Column:
+    """An id column as it is compared and returned: integers as long, anything else as a string."""
+    kind = df.select(F.col(quoted([name])[0])).schema[0].dataType
+    return F.col(quoted([name])[0]).cast("long" if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) else "string")
+
+
 def quoted(names: list[str]) -> list[str]:
     """Column names that may hold dots, for select()."""
     return ["`" + n.replace("`", "``") + "`" for n in names]

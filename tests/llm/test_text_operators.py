@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,8 +99,6 @@ def best_distance(item, text):
 
 
 def test_myers_equals_table():
-    import random
-
     rng = random.Random(2)
     for _ in range(200):
         item, text = ("".join(rng.choice("abc ") for _ in range(rng.randint(1, n))) for n in (70, 90))
@@ -108,35 +108,108 @@ def test_myers_equals_table():
         assert decontam.distance(item, masks, text) == best_distance(item, text)
 
 
-def test_leaks_within_the_budget_are_found_and_no_others(spark):
-    import random
+def edit(rng, text, n):
+    """n random edits."""
+    chars = list(text)
+    for _ in range(n):
+        at = rng.randrange(len(chars))
+        chars[at : at + 1] = rng.choice([[], [rng.choice("qxz")], [chars[at], rng.choice("qxz")]])
+    return "".join(chars)
+
+
+def all_distances(items, text):
+    """Least edit distance of each item to any part of text, by the plain table, all items side by side."""
+    size = max(map(len, items))
+    code = np.full((len(items), size), -1, np.int32)
+    for row, item in zip(code, items, strict=True):
+        row[: len(item)] = [ord(c) for c in item]
+    steps, ends = np.arange(size + 1, dtype=np.int16), np.array([len(x) for x in items])
+    column = np.tile(steps, (len(items), 1))
+    best = ends.copy()
+    for c in map(ord, text):
+        new = np.empty_like(column)
+        new[:, 0] = 0
+        new[:, 1:] = np.minimum(column[:, :-1] + (code != c), column[:, 1:] + 1)
+        new -= steps
+        column = np.minimum.accumulate(new, axis=1)
+        column += steps
+        best = np.minimum(best, column[np.arange(len(items)), ends])
+    return best
 
+
+def test_leaks_within_the_budget_are_found_and_no_others(spark):
     rng = random.Random(4)
-    items = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(25))) for k in range(6)]
+    items = [(k, " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(8, 25)))) for k in range(8)]
     docs, want = [], set()
-    for n in range(60):
-        k, text = items[n % 6]
-        chars = list(text)
-        for _ in range(rng.randint(0, 20)):
-            at = rng.randrange(len(chars))
-            chars[at : at + 1] = rng.choice([[], ["z"], [chars[at], "q"]])
-        body = f"{PROSE[: 30 * (n % 3)]}\n{''.join(chars).upper() if n % 2 else ''.join(chars)}  {PROSE[:40]}"
-        docs.append((n, body))
+    for n in range(96):
+        body = edit(rng, items[n % 8][1], rng.randint(0, 20))
+        docs.append((n, f"{PROSE[: 30 * (n % 3)]}\n{body.upper() if n % 2 else body}  {PROSE[:40]}"))
         for i, item in items:
-            d = best_distance(decontam.normal(item), decontam.normal(body))
-            if d <= len(decontam.normal(item)) * 8 // 100:
+            d = best_distance(decontam.normal(item), decontam.normal(docs[-1][1]))
+            if d <= len(decontam.normal(item)) * 10 // 100:
                 want.add((n, i, d))
     frame, table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(r) for r in decontam.find_leaks(frame, table).collect()}
-    assert got == want and 10 < len({x[0] for x in want}) < 60
+    assert got == want and 20 < len({x[0] for x in want}) < 90
     left = {r.doc_id for r in decontam.drop_leaks(frame, table).collect()}
     assert left == {n for n, _ in docs} - {x[0] for x in want}
 
 
+def test_op10_equals_plain_edit_distance(spark, sf):
+    """All documents and all items of the table."""
+    texts = {r.doc_id: decontam.normal(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: decontam.normal(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    want = set()
+    for doc, text in texts.items():
+        for (i, item), d in zip(items.items(), all_distances(list(items.values()), text), strict=True):
+            if d <= len(item) * 10 // 100:
+                want.add((doc, i, int(d)))
+    assert {tuple(r) for r in op10_decontamination(spark, sf).collect()} == want and want
+
+
+def recall(shares, seed=6, copies=12):
+    """Share of items found by edit share of their length (5: exactly 5 %), among random English-like items."""
+    rng = random.Random(seed)
+    words = PROSE.split()
+    items = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(16, 70)))) for k in range(20)]
+    match, out = decontam.Matcher(items, decontam.PERCENT, decontam.MIN_CHARS), {}
+    for share in shares:
+        hits = 0
+        for k, item in items * copies:
+            body = edit(rng, item, len(item) * share // 100)
+            hits += any(i == k for i, _ in match.leaks(f"{PROSE} {body} {PROSE}"))
+        out[share] = hits / len(items) / copies
+    return out
+
+
+def test_recall_by_edit_share():
+    found = recall((0, 5, 8, 10))
+    assert set(found.values()) == {1.0}
+
+
+def test_pieces_cover_the_item():
+    for m in range(40, 400):
+        k = m // 10
+        parts = decontam.pieces_of(m, k)
+        assert len(parts) == k + 1 and parts[0][0] == 0 and parts[-1][1] == m and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+        assert all(b > a and (p == q or p == b or q == a) for a, b, p, q in parts) and sum(p == q for *_, p, q in parts) == (k + 1) % 2
+
+
+def test_short_items_stand_exactly(spark):
+    items = spark.createDataFrame([(1, "Who wrote  the red book of Hergest?"), (2, "yes"), (3, "capital of France is")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x who WROTE the\nred book of hergest? y"), (2, "who wrote the red book of hergest"), (3, "Yes\nno"), (4, "oh yes it is"), (5, "the capital of france is x"), (6, "capital of France isn"), (7, None), (8, " YES ")], "doc_id long, text string")
+    want = {(1, 1, 0), (3, 2, 0), (5, 3, 0), (8, 2, 0)}
+    assert {tuple(r) for r in decontam.find_leaks(docs, items).collect()} == want
+    assert {r.doc_id for r in decontam.drop_leaks(docs, items).collect()} == {2, 4, 6, 7}
+
+
 def test_item_blocks_give_the_same(spark, sf, monkeypatch):
+    docs, items = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "benchmark"))
     whole = sorted(map(tuple, op10_decontamination(spark, sf).collect()))
+    left = sorted(r.doc_id for r in decontam.drop_leaks(docs, items).collect())
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 3000)
     assert sorted(map(tuple, op10_decontamination(spark, sf).collect())) == whole and whole
+    assert sorted(r.doc_id for r in decontam.drop_leaks(docs, items).collect()) == left
 
 
 def test_decontamination_awkward(spark):
@@ -148,6 +221,10 @@ def test_decontamination_awkward(spark):
     assert decontam.find_leaks(empty(spark), items).count() == 0
     none = items.where("false")
     assert decontam.find_leaks(docs, none).count() == 0 and decontam.drop_leaks(docs, none).count() == docs.count()
+    named = docs.withColumn("doc_id", F.concat(F.lit("a/"), F.col("doc_id").cast("string")))
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(named, items.withColumn("item_id", F.lit("i")), id_col="doc_id").collect()} == {(d, "i") for d in ("a/1", "a/5", "a/7", None)}
+    with pytest.raises(ValueError):
+        decontam.find_leaks(docs, items, id_col="item_id")
 
 
 def test_language_accuracy_on_held_out_rows(spark, sf):
