@@ -5,19 +5,18 @@ numbers. Nyström landmarks, balanced over languages, turn it into features; one
 for each language. Because the kernel is linear in presence vectors, landmark rows and ridge weights fold into one matrix (n-grams by
 languages), and scoring is one matrix product for a batch of presence vectors.
 
-Fitting uses a bounded sample: at most about `sample_rows` labelled rows, equal shares for each language (and at most `max_langs` languages, the
-most frequent), only texts of at most `sample_chars` characters. Prediction reads whole texts of all rows.
+Fitting uses a bounded sample: at most `sample_rows` labelled rows, equal shares for each language, only texts of at most `sample_chars` characters. A
+language has one row at least; where there are more languages than `sample_rows`, the most frequent are learned. Prediction reads whole texts of all rows.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.column import Column
@@ -25,7 +24,12 @@ from pyspark.sql.column import Column
 from .common import quoted, slices
 
 NS, HASH_BITS, CHUNK = (1, 2, 3, 4), 22, 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+RANGE = 1 << 62
+
+
+def has_letter(text: str) -> bool:
+    """Number characters and marks are no letters."""
+    return any(map(str.isalpha, text))
 
 
 def ngrams(data: bytes) -> list[np.ndarray]:
@@ -98,15 +102,21 @@ def fit(sample: list[tuple[str, np.ndarray]], landmarks: int = 256, features: in
     return Model(languages, codes, marks.T @ (root @ solved))
 
 
-def train(rows: DataFrame, text: Column, lang: Column, spread: Column, sample_rows: int = 2000, max_langs: int = 256, sample_chars: int = 50_000) -> Model | None:
-    """Fits on a sample of rows; spread is a column that tells rows apart, whose hash picks them. None without labelled rows."""
+def train(rows: DataFrame, text: Column, lang: Column, spread: Column, sample_rows: int = 2000, sample_chars: int = 50_000) -> Model | None:
+    """Fits on a sample of rows; spread is a column that tells rows apart, whose hash picks them. None without labelled rows.
+
+    Rows that repeat text and spread count once. The order and partitions of rows don't matter.
+    """
     rows = rows.select(text.cast("string").alias("t"), lang.cast("string").alias("l"), spread.alias("s")).where(f"l is not null and t is not null and length(t) between 1 and {sample_chars}")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(sample_rows).collect()}
     if not counts:
         return None
-    share = sample_rows // len(counts) + 1
-    limit = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(1_000_000, share * 1_000_000 // n + 1))])
-    picked = rows.where(F.pmod(F.xxhash64("s", "t"), F.lit(1_000_000)) < F.coalesce(F.try_element_at(limit, F.col("l")), F.lit(0))).select("t", "l")
+    share = sample_rows // len(counts)
+    # Hashes below the limit are about twice a share, whatever the language's size; the least `share` of them are taken.
+    limit = F.create_map(*[F.lit(v) for k, n in sorted(counts.items()) for v in (k, min(RANGE, (2 * share + 20) * RANGE // n))])
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("s", "t"), F.lit(RANGE)))
+    near = hashed.where(F.col("h") < F.coalesce(F.try_element_at(limit, F.col("l")), F.lit(0))).groupBy("l", "h").agg(F.min("t").alias("t"))
+    picked = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("r") <= share).select("t", "l")
 
     def codes(batches):
         for batch in batches:
@@ -117,10 +127,13 @@ def train(rows: DataFrame, text: Column, lang: Column, spread: Column, sample_ro
 
 
 def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
-    """carry, lang_pred, score. `und` with score 0 for null texts and texts without a letter; score is a softmax of the languages' scores.
+    """carry, lang_pred, score. `und` with score 0 for null texts and texts without a letter; score is a softmax of the languages' scores. Of languages with
+    equal scores the first in alphabetical order counts.
 
-    One row out for each row in, whole texts however long. carry may be any columns but lang_pred and score.
+    One row out for each row in, whole texts however long, in pieces of a million bytes. carry may be any columns but lang_pred and score.
     """
+    if {"lang_pred", "score"} & set(carry):
+        raise ValueError("lang_pred and score are names of results")
     rows = docs.select(*quoted(carry), F.col(f"`{text_col}`").cast("string").alias("__text"))
     key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model and (model.languages, model.codes, model.weights))
 
@@ -133,7 +146,7 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: st
         model, tables = held[key]
         for batch in (b for whole in batches for b in slices(whole, 128)):
             texts = batch.column(batch.num_columns - 1).to_pylist()
-            known = [i for i, t in enumerate(texts) if model and t and LETTER.search(t)]
+            known = [i for i, t in enumerate(texts) if model and t and has_letter(t)]
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if known:
                 s = model.scores([texts[i] for i in known], tables).astype(np.float64)

@@ -238,11 +238,13 @@ def test_language_awkward(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
     rows = awkward(spark).select("doc_id", "text", F.col("quality").alias("odd.name"))
-    odd = spark.createDataFrame([(90, "123 !!"), (91, "é"), (92, "x" * 3_000_000)], "doc_id long, text string").withColumn("odd.name", F.lit("q"))
+    odd = spark.createDataFrame([(90, "123 !!"), (93, "½ ² Ⅷ ①② ٣ ़"), (91, "é"), (92, "x" * 3_000_000)], "doc_id long, text string").withColumn("odd.name", F.lit("q"))
     got = langid.predict(rows.union(odd), model, ["doc_id", "odd.name"]).collect()
-    assert len(got) == 13
+    assert len(got) == 14
+    with pytest.raises(ValueError):
+        langid.predict(rows, model, ["doc_id", "score"])
     for r in got:
-        if r.doc_id in (2, 3, 4, 90):
+        if r.doc_id in (2, 3, 4, 90, 93):
             assert (r.lang_pred, r.score) == ("und", 0)
         elif r.doc_id in (1, 91, 92):
             assert r.lang_pred in ("de", "en", "es", "fr")
@@ -251,6 +253,43 @@ def test_language_awkward(spark, sf):
     assert langid.predict(empty(spark), model, ["doc_id"]).count() == 0
 
 
+def test_folded_scores_equal_the_kernel(spark, sf):
+    """Scores by explicit kernel values, Nyström features and ridge weights."""
+    rows = [(r.lang, r.text[:3000]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null").limit(90).collect()]
+    sample, n, ridge = [(lang, langid.present(t)) for lang, t in rows], 24, 1e-2
+    model = langid.fit(sample, landmarks=n, features=1 << 30, ridge=ridge)
+    known = set(model.codes.tolist())
+    sets = [set(c.tolist()) & known for _, c in sample]
+    langs = [lang for lang, _ in sample]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    turns = sorted(range(len(rows)), key=lambda i: (langs[:i].count(langs[i]), langs[i]))[:n]
+    k_mm = np.array([[kernel(sets[i], sets[j]) for j in turns] for i in turns])
+    k_xm = np.array([[kernel(s, sets[j]) for j in turns] for s in sets])
+    value, vector = np.linalg.eigh(k_mm)
+    assert value.min() > 1e-6 * value.max()
+    phi = k_xm @ vector / np.sqrt(value)
+    y = np.array([[1.0 if x == name else -1.0 for name in model.languages] for x in langs])
+    w = np.array([len(rows) / len(model.languages) / langs.count(x) for x in langs])[:, None]
+    solved = np.linalg.solve(phi.T @ (w * phi) + ridge * len(rows) / n * np.eye(n), phi.T @ (w * y))
+    got = model.scores([t for _, t in rows], model.tables())
+    assert model.languages == sorted(set(langs)) and np.abs(got - phi @ solved).max() < 1e-5
+
+
+def test_language_sample_is_bounded_and_order_free(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    seen = []
+    fit, langid.fit = langid.fit, lambda sample, **options: seen.append(sample) or fit(sample, **options)
+    try:
+        args = F.col("text"), F.col("lang"), F.col("doc_id")
+        a, b = langid.train(docs, *args, sample_rows=40), langid.train(docs.union(docs).orderBy(F.desc("text")).repartition(7), *args, sample_rows=40)
+        many = docs.withColumn("lang", F.concat("lang", F.lit("-"), F.col("doc_id").cast("string")))
+        c = langid.train(many, *args, sample_rows=40)
+    finally:
+        langid.fit = fit
+    assert [len(x) for x in seen] == [40, 40, 40] and {x: [lang for lang, _ in seen[0]].count(x) for x in a.languages} == dict.fromkeys(a.languages, 10)
+    assert (a.codes == b.codes).all() and np.abs(a.weights - b.weights).max() < 1e-5 and len(c.languages) == 40
+
+
 def test_kernel_pieces_lose_no_ngram(monkeypatch):
     text = PROSE + " é ü 😀 " + PROSE[::-1]
     whole = langid.present(text)
