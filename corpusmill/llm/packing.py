@@ -15,12 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, sized_slices
+from .common import Scratch, as_id, sized_slices
 from .tokens import encoder
 
 FIELDS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 MERGED_PARTS = 16
 
 
@@ -83,9 +83,9 @@ class Windows:
                     self.emit(now)
                     now = []
 
-    def taken(self) -> pa.RecordBatch:
+    def taken(self, id_type: pa.DataType = TYPES[0]) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, TYPES, strict=True)], FIELDS)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, [id_type, *TYPES[1:]], strict=True)], FIELDS)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024, windows: int = 64, max_pad: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,10 +93,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024, windo
 
     A document is its text's ids (null text: none) and end_id. ids are little-endian unsigned 32-bit integers, start counts the document's ids
     before the piece, offset the sequence's. Each id lies in one piece. `length` must be a power of two. An empty table gives no
-    rows; null and repeated ids are packed like others.
+    rows; null and repeated ids are packed like others; doc ids are integers or strings. A very long document is cut over many sequences. Which documents share a
+    sequence, and sequence_id, depend on how the input is partitioned; ids of sequences are unique, not gapless.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
+    rows = docs.select(as_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    id_type, none = (pa.string(), "") if kind == "string" else (pa.int64(), 0)
+    schema = f"doc_id {kind}, {SCHEMA}"
 
     def run(batches):
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -106,24 +111,23 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = 1024, windo
                 ids = np.append(found, encode.dtype.type(end_id))
                 packed.add(doc, 0, ids, len(ids))
             if packed.rows:
-                yield packed.taken()
+                yield packed.taken(id_type)
         # A leftover piece has a negative sequence id that tells its group of partitions.
         rows = [(doc, start, len(ids), ids.astype("<u4").tobytes(), total, -1 - part // MERGED_PARTS, 0) for pieces in packed.open for doc, start, ids, total in pieces]
         packed.rows = rows
-        yield packed.taken()
+        yield packed.taken(id_type)
 
     def merge(table):
-        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["ids"]))
+        rows = sorted(table.to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or none, r["start"], r["ids"]))
         if not rows:
-            return pa.Table.from_batches([Windows(0, length, windows, max_pad).taken()])
+            return pa.Table.from_batches([Windows(0, length, windows, max_pad).taken(id_type)])
         packed = Windows((1 << 30) - rows[0]["sequence_id"] << 32, length, windows, max_pad)
         for r in rows:
             packed.add(r["doc_id"], r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"])
         packed.flush()
-        return pa.Table.from_batches([packed.taken()])
+        return pa.Table.from_batches([packed.taken(id_type)])
 
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    held = scratch.keep(rows.mapInArrow(run, SCHEMA))
-    left = held.where("sequence_id < 0").groupBy("sequence_id").applyInArrow(merge, SCHEMA)
+    held = scratch.keep(rows.mapInArrow(run, schema))
+    left = held.where("sequence_id < 0").groupBy("sequence_id").applyInArrow(merge, schema)
     return held.where("sequence_id >= 0").unionByName(left)

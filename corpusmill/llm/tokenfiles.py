@@ -18,11 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import sized_slices, slices
+from .common import as_id, sized_slices, slices
 from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 20
-SCHEMA = "part int, start long, tokens long, doc_ids array<long>, n_tokens array<int>, ranked binary, control binary, data binary"
+RANGE_BYTES = 256 << 20
+SCHEMA = "part int, start long, tokens long, doc_ids array<{}>, n_tokens array<int>, ranked binary, control binary, data binary"
 
 
 def compress(ids: np.ndarray) -> tuple[bytes, bytes, bytes]:
@@ -54,10 +55,20 @@ def expand(ranked: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(ranked, "<u4")[ranks]
 
 
+def input_bytes(rows: DataFrame) -> int:
+    """The sizes of the files that the frame reads, as Spark's planner has them; nothing is read. Inputs without a size (2 ** 63 - 1 in Spark) count as 0."""
+    leaves = rows._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every whole text (null: empty), appends end_id and writes the blocks in ascending id order (null ids first, rows of one id in any order).
+    """Encodes every whole text (null: empty), appends end_id and writes the blocks in ascending id order (null ids first, rows of one id in any order). Ids are integers or strings.
 
-    Rows are range-partitioned by id, so file order is id order; any number of partitions gives the same ids and starts."""
+    Rows are range-partitioned by id, so file order is id order; any number of partitions gives the same ids and starts. There are as many ranges as
+    the files that the rows come from have RANGE_BYTES, and as many as shuffle partitions at least. A very long text is a block of its own."""
+    rows = docs.select(as_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         encode, part = encoder(tokenizer), TaskContext.get().partitionId()
@@ -71,7 +82,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], fields)
 
         fields = ["part", "start", "tokens", "doc_ids", "n_tokens", "ranked", "control", "data"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 3]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string() if kind == "string" else pa.int64()), pa.list_(pa.int32()), *[pa.binary()] * 3]
         for batch in (b for whole in batches for b in sized_slices(whole, 1)):
             for name, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 ids.append(np.append(found, encode.dtype.type(end_id)))
@@ -82,13 +93,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
         if ids:
             yield block()
 
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(run, SCHEMA).write.parquet(path)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(rows) // RANGE_BYTES))
+    rows.repartitionByRange(n, "id").sortWithinPartitions("id").mapInArrow(run, SCHEMA.format(kind)).write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): ids as little-endian unsigned 32-bit integers, start counts the ids of all documents before."""
+    """(doc_id, start, n_tokens, ids) of each document, from the files: ids as little-endian unsigned 32-bit integers, start counts the ids of all documents before."""
+    blocks = spark.read.parquet(path)
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    ids_of = pa.string() if kind == "string" else pa.int64()
 
     def run(batches):
         for batch in batches:
@@ -100,14 +113,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     some = slice(k, k + 256)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(row["doc_ids"][some], pa.int64()), pa.array(row["before"] + row["start"] + ends[some] - counts[some]), pa.array(counts[some]),
+                            pa.array(row["doc_ids"][some], ids_of), pa.array(row["before"] + row["start"] + ends[some] - counts[some]), pa.array(counts[some]),
                             pa.array([ids[e - n : e].tobytes() for e, n in zip(ends[some], counts[some], strict=True)], pa.binary()),
                         ],
                         ["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    blocks = spark.read.parquet(path)
     totals = blocks.groupBy("part").agg(F.max(F.col("start") + F.col("tokens")).alias("total"))
     # One row for each file: as many as partitions, not as documents.
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    return blocks.join(before, "part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.join(before, "part").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids binary")

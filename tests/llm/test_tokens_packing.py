@@ -131,6 +131,20 @@ def test_pack_awkward(spark, encode):
         packing.pack(docs, tokenizer_path(), 0, length=1000)
 
 
+def test_string_ids(spark, encode, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfiles, "RANGE_BYTES", 100)
+    rows = [(f"part/{k:03d}", " ".join(["some words"] * (k % 7 * 80))) for k in range(60)] + [(None, "x")]
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = expected(encode, rows, 0)
+    check_packed(packing.pack(docs, tokenizer_path(), 0).collect(), want)
+    assert tokenfiles.input_bytes(docs) > 500
+    tokenfiles.write_token_files(docs, str(tmp_path / "s"), tokenizer_path(), 0)
+    back = sorted(tokenfiles.read_token_files(spark, str(tmp_path / "s")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in back] == [None, *sorted(x for x, _ in rows if x)] and all(np.frombuffer(r.ids, "<u4").tolist() == want[r.doc_id].tolist() for r in back)
+    assert [r.start for r in back] == np.cumsum([0, *[r.n_tokens for r in back[:-1]]]).tolist()
+
+
 def test_windows_are_bounded_and_best_fit():
     w = packing.Windows(0, 8, 2, 0)
     add = lambda doc, n: w.add(doc, 0, np.full(n, doc, np.uint32), n)
