@@ -1,16 +1,17 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-Words are lower-cased runs of letters and digits. Every text is read in windows of w, 2w, 4w ... words, each overlapping the next by half, so
-that any passage as long as a template lies whole in a window of at most four times the template's length (twice for lengths near w). Window
-signatures are minima over shifted tables (as in near-duplicate search); a window and a template that share a band are candidates.
-With one coordinate a band and BANDS bands, a template that fills a share s of a window's shingles collides with probability
-1 - (1 - s) ** BANDS: over 0.999999 for a whole template in the largest window that it is sought in. A candidate is a match if at least `percent` % of the template's shingles are
-in the window.
+Words are lower-cased runs of letters and digits. Every text is read in windows of 2, 4, 8 ... shingles, each overlapping the next by half, so
+that any passage as long as a template lies whole in a window of at most four times the template's length. Window signatures are minima over shifted
+tables (as in near-duplicate search); those of all windows of many texts come from one another, a window's from its two halves. A window and a template that
+share a band are candidates. With one coordinate a band and BANDS bands, a template that fills a share s of a window's shingles collides with probability
+1 - (1 - s) ** BANDS: over 0.999999 for a whole template in the largest window that it is sought in. A candidate is a match if at least `percent` % of the
+template's shingles are in the window.
 
 A template of fewer than WIDTH words is one shingle of its own length. Texts are hashed at those lengths too, and every place of that shingle is a
 match: it needs no window, and no band can miss it.
 
-Templates are a fixed list of at most MAX_TEMPLATES; they travel with the task. Documents are never shuffled.
+Templates are a fixed list of at most MAX_TEMPLATES; they travel with the task. Documents are never shuffled. Texts are read in segments of SEGMENT
+shingles that overlap by the largest window, so memory is bounded however long they are.
 """
 
 from __future__ import annotations
@@ -18,16 +19,20 @@ from __future__ import annotations
 import re
 import sys
 import uuid
+from bisect import bisect_left, insort
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices
+from .common import as_id, mix64, slices
+from .license_texts import TEXTS
 
 WIDTH, BANDS, PERCENT, MAX_TEMPLATES = 5, 64, 80, 10_000
-UNIVERSE_BITS = 16
+UNIVERSE_BITS, SEGMENT = 18, 1 << 15
 WORD = re.compile(r"[^\W_]+")
 
 #: Notices and the distinctive paragraphs of common licenses.
@@ -54,6 +59,9 @@ TEMPLATES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+for _name, _text in TEXTS.items():
+    TEMPLATES.setdefault(_name, []).append(_text)
+
 #: Notices that grant no license: they are matches, but not among a document's licenses.
 NOTICES = {"All-rights-reserved": ["All rights reserved."]}
 
@@ -63,15 +71,11 @@ def collision_probability(share: float, bands: int = BANDS) -> float:
     return 1 - (1 - share) ** bands
 
 
-def words_and_offsets(text: str) -> tuple[list[str], list[tuple[int, int]]]:
-    found = list(WORD.finditer(text))
-    return [m[0].lower() for m in found], [m.span() for m in found]
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(text: str) -> np.ndarray:
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    words = WORD.findall(text)
+    return np.fromiter((xxhash.xxh3_64_intdigest(w.lower().encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
 
 
 def shingles(h: np.ndarray, n: int = WIDTH) -> np.ndarray:
@@ -91,18 +95,21 @@ class Scanner:
         self.shifted = np.lib.stride_tricks.sliding_window_view(np.concatenate([order, order[: bands - 1]]), bands)
         self.classes: dict[int, dict] = {}
         self.sets = []
-        #: Of each set's shingles: the first place in the template, and how often they are in it.
-        self.order: list[tuple[np.ndarray, np.ndarray]] = []
+        #: Of each set's shingles: the first place in the template, how often they are in it, and all places.
+        self.order: list[tuple[np.ndarray, np.ndarray, list[list[int]]]] = []
         #: Templates under WIDTH words: words -> shingle -> names.
         self.short: dict[int, dict[int, list[str]]] = {}
         for name, text in templates:
-            h = word_hashes(words_and_offsets(text)[0])
+            h = word_hashes(text)
             if not len(h):
                 continue
             if len(h) < WIDTH:
                 self.short.setdefault(len(h), {}).setdefault(int(shingles(h, len(h))[0]), []).append(name)
                 continue
-            s, first, times = np.unique(shingles(h), return_index=True, return_counts=True)
+            s, first, back, times = np.unique(shingles(h), return_index=True, return_inverse=True, return_counts=True)
+            spots: list[list[int]] = [[] for _ in s]
+            for k, i in enumerate(back.tolist()):
+                spots[i].append(k)
             size = 2
             while size < 2 * len(s):
                 size *= 2
@@ -110,9 +117,14 @@ class Scanner:
             at["keys"].append(self.signature(s))
             at["owner"].append(len(self.sets))
             self.sets.append((name, s))
-            self.order.append((first, times))
-        #: Only shingles of some template can make a window's minimum equal a template's and pass verification.
-        self.known = np.unique(np.concatenate([s for _, s in self.sets])) if self.sets else np.empty(0, np.uint64)
+            self.order.append((first, times, spots))
+        self.largest = max(self.classes, default=0)
+        for at in self.classes.values():
+            at["keys"], at["owner"] = np.array(at["keys"]), np.array(at["owner"])
+            # A table of bits that says of most bands that no template of the class has them: a thousand places for each band of each.
+            bits = at["bits"] = min(26, int(len(at["keys"]) * bands * 1024).bit_length())
+            at["seen"] = np.zeros(1 << bits, bool)
+            at["seen"][self.spots(at["keys"], bits)] = True
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> np.uint64(64 - UNIVERSE_BITS)).astype(np.int64)
@@ -128,11 +140,11 @@ class Scanner:
 
         Where no shingle is more often in the window than in the template, all are one occurrence. Otherwise it is split: the span with the fewest
         falls (shingles before one of an earlier place in the template), then the shortest, that reaches the percentage is taken with what follows or
-        precedes it in order, and then the rest on both sides likewise.
+        precedes it in the template's order, and then the rest on both sides likewise.
         """
         s = self.sets[owner][1]
         need = -(-self.percent * len(s) // 100)
-        first, times = self.order[owner]
+        first, times, spots = self.order[owner]
         ids = np.searchsorted(s, hashes)
         counts = np.bincount(ids, minlength=len(s))
         if (got := int((counts > 0).sum())) < need or not got:
@@ -141,7 +153,7 @@ class Scanner:
         fall = np.concatenate([[0], np.cumsum(place[1:] < place[:-1])]).tolist()
         if (counts <= times).all():
             return [(int(where[0]), int(where[-1]), got, fall[-1])]
-        ids, place, at = ids.tolist(), place.tolist(), where.tolist()
+        ids, at = ids.tolist(), where.tolist()
         out, open_ = [], [(0, len(ids))]
         while open_:
             lo, hi = open_.pop()
@@ -162,77 +174,124 @@ class Scanner:
             if best is None:
                 continue
             _, _, a, b = best
-            have = set(ids[a : b + 1])
-            while b + 1 < hi and ids[b + 1] not in have and place[b + 1] > place[b]:
-                b += 1
-                have.add(ids[b])
-            while a > lo and ids[a - 1] not in have and place[a - 1] < place[a]:
-                a -= 1
-                have.add(ids[a])
+            have = Counter(ids[a : b + 1])
+            after, before = spots[ids[b]][0], spots[ids[a]][-1]
+            while b + 1 < hi and have[k := ids[b + 1]] < times[k] and (p := next((p for p in spots[k] if p > after), None)) is not None:
+                b, after = b + 1, p
+                have[k] += 1
+            while a > lo and have[k := ids[a - 1]] < times[k] and (p := next((p for p in reversed(spots[k]) if p < before), None)) is not None:
+                a, before = a - 1, p
+                have[k] += 1
             out.append((at[a], at[b], len(have), fall[b] - fall[a]))
             open_ += [(lo, a), (b + 1, hi)]
         return out
 
-    def scan(self, text: str) -> list[tuple]:
-        """(license, start, end, percent of the template's shingles) by place, the best window of each template and of overlapping windows."""
-        words, spans = words_and_offsets(text)
-        hashed = word_hashes(words)
-        found, brief = self.windows(shingles(hashed), words, spans), []
-        for n, names in self.short.items():
-            h = shingles(hashed, n)
-            for i in np.flatnonzero(np.isin(h, np.fromiter(names, np.uint64, len(names)))):
-                brief += [(100, name, spans[i][0], spans[i + n - 1][1]) for name in names[int(h[i])]]
-        order = lambda x: (-x[0], -(x[3] - x[2]), x[2], x[1])
-        best: list[tuple] = []
-        for score, name, start, end in [*sorted(found, key=order), *sorted(brief, key=order)]:
-            if all(end <= b[1] or b[2] <= start for b in best):
-                best.append((name, start, end, score))
-        return sorted(best, key=lambda x: x[1])
-
-    def windows(self, h: np.ndarray, words: list[str], spans: list[tuple[int, int]]) -> list[tuple]:
-        """(percent, license, start, end) of each window and template of WIDTH words or more that match."""
-        if not len(h) or not len(self.known):
-            return []
-        # A window without a template's shingle fails verification whatever its bands say: its signature isn't taken.
-        place = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-        hits = np.flatnonzero(self.known[place] == h)
-        found: list[tuple] = []
-        seen: dict[int, set[tuple]] = {}
-        if not len(hits):
-            return found
-        for size, at in self.classes.items():
-            step, keys = size // 2, np.array(at["keys"])
-            first = {int(x) // step for x in hits} | {max(0, int(x) // step - 1) for x in hits}
-            for w in sorted(first):
-                lo, hi = w * step, min(w * step + size, len(h))
-                window = h[lo:hi]
-                near = np.flatnonzero((keys == self.signature(window)).any(axis=1))
-                for i in near:
-                    owner = at["owner"][i]
-                    inside = np.flatnonzero(np.isin(window, self.sets[owner][1]))
-                    for a, b, got, falls in self.occurrences(owner, window[inside], inside):
-                        seen.setdefault(owner, set()).add((falls, -got, b - a, a + lo, b + lo))
+    def spots(self, signatures: np.ndarray, bits: int) -> np.ndarray:
+        band = np.arange(self.bands, dtype=np.uint32) * np.uint32(0x85EBCA6B)
+        return ((signatures.astype(np.uint32) + band) * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
+
+    def candidates(self, texts: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(text, first shingle, end, template) of each window that shares a band with a template; texts are arrays of shingles."""
+        step = max(SEGMENT, 2 * self.largest) // max(1, self.largest) * self.largest
+        parts = [(t, lo, min(lo + step + self.largest, len(h)), lo + step < len(h)) for t, h in enumerate(texts) for lo in range(0, len(h), step)] if self.largest else []
+        group, held = [], 0
+        for part in parts:
+            group.append(part)
+            held += part[2] - part[1]
+            if held >= SEGMENT:
+                yield from self.of_group(texts, group, step)
+                group, held = [], 0
+        if group:
+            yield from self.of_group(texts, group, step)
+
+    def of_group(self, texts: list[np.ndarray], group: list[tuple], step: int) -> Iterator[tuple[int, int, int, int]]:
+        blocks = self.shifted[self.places(np.concatenate([texts[t][lo:hi] for t, lo, hi, _ in group]))]
+        count = np.array([hi - lo for _, lo, hi, _ in group])
+        size = 2
+        while size <= self.largest:
+            # Blocks are of size // 2 shingles; a window is two neighbours, or a text's only block.
+            begin, half = np.cumsum(count) - count, size // 2
+            if size in self.classes:
+                windows = np.maximum(count - 1, 1)
+                owner = np.repeat(np.arange(len(group)), windows)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+                left = begin[owner] + place
+                signs = np.minimum(blocks[left], blocks[np.minimum(left + 1, begin[owner] + count[owner] - 1)])
+                at = self.classes[size]
+                for w in np.flatnonzero(at["seen"][self.spots(signs, at["bits"])].any(axis=1)):
+                    t, lo, hi, more = group[owner[w]]
+                    start = lo + int(place[w]) * half
+                    if more and start >= lo + step:
+                        continue  # the next segment has this window whole
+                    for k in at["owner"][(at["keys"] == signs[w]).any(axis=1)]:
+                        yield t, start, min(start + size, len(texts[t])), int(k)
+            pairs = -(-count // 2)
+            owner = np.repeat(np.arange(len(group)), pairs)
+            left = begin[owner] + 2 * (np.arange(len(owner)) - np.repeat(np.cumsum(pairs) - pairs, pairs))
+            blocks = np.minimum(blocks[left], blocks[np.minimum(left + 1, begin[owner] + count[owner] - 1)])
+            count, size = pairs, 2 * size
+
+    def scan(self, texts: list[str]) -> list[list[tuple]]:
+        """For each text (license, start, end, percent of the template's shingles) by place, the best window of each template and of overlapping windows."""
+        hashed = [word_hashes(t) for t in texts]
+        shingled = [shingles(h) for h in hashed]
+        seen: list[dict[int, set[tuple]]] = [{} for _ in texts]
+        for t, lo, hi, owner in self.candidates(shingled):
+            window = shingled[t][lo:hi]
+            inside = np.flatnonzero(np.isin(window, self.sets[owner][1]))
+            for a, b, got, falls in self.occurrences(owner, window[inside], inside):
+                seen[t].setdefault(owner, set()).add((falls, -got, b - a, a + lo, b + lo))
+        return [self.resolved(text, h, of) for text, h, of in zip(texts, hashed, seen, strict=True)]
+
+    def resolved(self, text: str, hashed: np.ndarray, seen: dict[int, set[tuple]]) -> list[tuple]:
+        """Of overlapping matches the better ones, as code points. Places are of words until here."""
+        found, brief = [], []
         for owner, places in seen.items():
             name, s = self.sets[owner]
-            taken: list[tuple] = []
+            taken = Taken()
             for _, got, _, a, b in sorted(places):
-                if all(b + WIDTH <= x or y + WIDTH <= a for x, y in taken):
-                    taken.append((a, b))
-                    found.append((-100 * got // len(s), name, spans[a][0], spans[min(b + WIDTH, len(words)) - 1][1]))
-        return found
+                if taken.add(a, b + WIDTH):
+                    found.append((-100 * got // len(s), name, a, min(b + WIDTH, len(hashed))))
+        for n, names in self.short.items():
+            h = shingles(hashed, n)
+            for i in np.flatnonzero(np.isin(h, np.fromiter(names, np.uint64, len(names)))).tolist():
+                brief += [(100, name, i, i + n) for name in names[int(h[i])]]
+        if not found and not brief:
+            return []
+        spans = [m.span() for m in WORD.finditer(text)]
+        order = lambda x: (-x[0], -(x[3] - x[2]), x[2], x[1])
+        told = lambda rows: sorted(((score, name, spans[a][0], spans[b - 1][1]) for score, name, a, b in rows), key=order)
+        taken = Taken()
+        return sorted(((name, start, end, score) for score, name, start, end in [*told(found), *told(brief)] if taken.add(start, end)), key=lambda x: x[1])
+
+
+class Taken:
+    """Ranges that don't overlap."""
+
+    def __init__(self):
+        self.ranges: list[tuple[int, int]] = []
+
+    def add(self, start: int, end: int) -> bool:
+        """Takes a range, unless it overlaps one that is taken."""
+        k = bisect_left(self.ranges, (start, end))
+        if (k and self.ranges[k - 1][1] > start) or (k < len(self.ranges) and self.ranges[k][0] < end):
+            return False
+        insort(self.ranges, (start, end))
+        return True
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent: int = PERCENT, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id_col, n_matches, licenses and matches (array of license, start, end, percent; code points, end exclusive).
 
     licenses lists the names found but those of NOTICES, sorted and comma-joined. Of overlapping matches the one with the higher percent, then the longer,
-    then the earlier, counts (of one template, the one in the template's order, then the higher percent, then the shorter); templates under WIDTH words give way to all others. Null, empty and wordless texts have none. Repeated rows get the same; other columns are not read.
+    then the earlier, counts (of one template, the one in the template's order, then the higher percent, then the shorter); templates under WIDTH words give way to all others. Null, empty and wordless texts have none; very long ones are read whole. Repeated rows get the
+    same; other columns are not read. Ids are integers or strings.
     """
     listed = sorted((name, text) for name, texts in (TEMPLATES | NOTICES if templates is None else templates).items() for text in texts)
     if len(listed) > MAX_TEMPLATES:
         raise ValueError(f"more than {MAX_TEMPLATES} templates")
     key = uuid.uuid4().hex
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    rows = docs.select(as_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").cast("string"))
     match = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("percent", pa.int32())]))
 
     def run(batches):
@@ -241,9 +300,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, percent
             held.clear()
             held[key] = Scanner(listed, percent, bands)
         for batch in (b for whole in batches for b in slices(whole)):
-            found = [[dict(zip(("license", "start", "end", "percent"), m, strict=True)) for m in held[key].scan(t or "")] for t in batch.column(1).to_pylist()]
+            found = [[dict(zip(("license", "start", "end", "percent"), m, strict=True)) for m in of] for of in held[key].scan([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, match)], ["id", "matches"])
 
-    out = rows.mapInArrow(run, "id long, matches array<struct<license string, start long, end long, percent int>>")
+    out = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, matches array<struct<license string, start long, end long, percent int>>")
     names = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["license"]), lambda name: ~name.isin(*NOTICES)))), ",")
     return out.select(F.col("id").alias(id_col), F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"), "matches")
