@@ -79,6 +79,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, join=lambda x, y: x + y, none: int = 0) -> Column:
+    """Running sums of an array (or another associative join with `none` as its neutral value), by doubling: n log n steps, where appending to an array would take n * n."""
+
+    def of(held: Column) -> Column:
+        n = F.size(held)
+        steps = F.when(n > 1, F.sequence(F.lit(0), F.floor(F.log2((n - 1).cast("double"))).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, held, lambda a, k: F.transform(a, lambda x, i: join(x, F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(none)))))
+
+    return let(values, of)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit integers."""
     x = x ^ (x >> np.uint64(33))

@@ -79,6 +79,65 @@ def test_added_spans_and_redaction(spark):
     assert joined == f'{PROSE} token = "<SECRET>" mail <EMAIL> end'
 
 
+def planted_pii(n=1500, seed=21):
+    """(texts, personal spans, decoys): sets of (doc, kind, start, end) of secrets, numbers and names, and of look-alikes."""
+    rng = random.Random(seed)
+    pick = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    low, up, digit, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    mixed = lambda k: pick(low, 2) + pick(up, 2) + pick(digit, 3) + pick(low + up + digit, k - 7)
+    names = ["Smith", "Müller", "García", "Dupont", "Johnson", "Schmidt", "Lefèvre", "Okafor", "Tanaka"]
+    good = {
+        "secret": [
+            lambda: ('api_key = "', mixed(32), '"'), lambda: ("token: ghp_"[:7], "ghp_" + mixed(36), ""), lambda: ("password=", mixed(24), ";"), lambda: ('token = "', pick(hexa, 40), '"'),
+            lambda: ("key id ", "AKIA" + pick(up + digit, 14) + "7A", ""), lambda: ("Authorization: Bearer ", mixed(260), ""), lambda: ("secret: ", "sk-" + mixed(45), ""),
+        ],
+        "number": [
+            lambda: ("SSN ", f"{pick(digit, 3)}-{pick(digit, 2)}-{pick(digit, 4)}", ""), lambda: ("call ", f"(555) {pick('23456789', 1)}{pick(digit, 2)}-{pick(digit, 4)}", " today"),
+            lambda: ("tel. ", f"0{pick('123456789', 1)} {pick(digit, 2)} {pick(digit, 2)} {pick(digit, 2)} {pick(digit, 2)}", ""), lambda: ("phone: ", f"{pick('23456789', 1)}{pick(digit, 2)}-555-{pick(digit, 4)}", ""),
+        ],
+        "name": [lambda: ("dear ", f"{rng.choice(['Mr.', 'Mrs', 'Dr.', 'Herr', 'Frau', 'Mme', 'Sr.'])} {rng.choice(names)}", ","), lambda: ("signed ", f"{rng.choice(['Dr.', 'Prof.', 'Ms.'])} {rng.choice(names)}", "")],
+    }
+    bad = {
+        "secret": [
+            lambda: ("commit ", pick(hexa, 40), ""), lambda: ("sha256: ", pick(hexa, 64), ""), lambda: ("md5 checksum ", pick(hexa, 32), ""), lambda: ("see ", f"{pick(low, 6)}-{pick(low, 7)}-{pick(low, 5)}-2nd-part", ""),
+            lambda: ("call ", f"compute_{pick(low, 8)}_values_v2_{pick(low, 4)}", "()"), lambda: ("at http://x.org/", f"{pick(low, 7)}-{pick(low, 9)}-20", "/"),
+        ],
+        "number": [lambda: ("on ", f"20{pick('01', 1)}{pick(digit, 1)}-0{pick('123456789', 1)}-1{pick(digit, 1)}", ""), lambda: ("population = ", f"{pick('123456789', 1)} {pick(digit, 3)} {pick(digit, 3)}", ""), lambda: ("page ", f"1{pick(digit, 6)}", ""), lambda: ("costs $ ", f"{pick('123456789', 4)}{pick(digit, 4)}", "")],
+        "name": [lambda: ("so ", f"Mr {rng.choice(['President', 'The', 'And'])}", ""), lambda: ("old ", f"Dr {rng.choice(['Who', 'Will'])}", "")],
+    }
+    texts, marks = [], ([], [])
+    for doc in range(n):
+        text = PROSE[: rng.randint(10, 200)] + " "
+        for _ in range(rng.randint(1, 4)):
+            wanted, kind = rng.random() < 0.5, rng.choice(pii.ADDED)
+            before, body, after = rng.choice((good if wanted else bad)[kind])()
+            text += before
+            marks[0 if wanted else 1].append((doc, kind, len(text), len(text) + len(body)))
+            text += f"{body}{after} {PROSE[: rng.randint(5, 90)]}. "
+        texts.append((doc, text))
+    return texts, set(marks[0]), set(marks[1])
+
+
+def test_recall_and_precision_of_planted_spans(spark):
+    texts, good, bad = planted_pii()
+    rows = pii.find_spans(spark.createDataFrame(texts, "doc_id long, text string"), ["doc_id"]).collect()
+    found = {(r.doc_id, s.kind, s.start, s.end) for r in rows for s in r.spans if s.kind in pii.ADDED}
+    for kind in pii.ADDED:
+        of = lambda xs: {x for x in xs if x[1] == kind}  # noqa: B023, E731
+        recall, precision = len(of(found & good)) / len(of(good)), len(of(found & good)) / max(1, len(of(found)))
+        print(kind, len(of(good)), len(of(bad)), round(recall, 3), round(precision, 3))
+        assert recall >= 0.9 and precision >= 0.9, (kind, recall, precision, sorted(of(good - found))[:5], [texts[x[0]][1][x[2] - 15 : x[3]] for x in sorted(of(found - good))[:5]])
+
+
+def test_texts_of_many_matches_take_linear_time(spark):
+    n = 100_000
+    text = "".join(f'token = "a{k:06d}bcdefXghij0123456789" u{k}@x.org ' for k in range(n))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = pii.find_spans(docs, ["doc_id"]).first().spans
+    ends = [m.end() for m in re.finditer("[0-9]@x.org", text)]
+    assert len(spans) == 2 * n and [s.end for s in spans[:n]] == ends and text[spans[n].start : spans[n].end] == "a000000bcdefXghij0123456789"
+
+
 def test_pii_awkward(spark):
     docs = awkward(spark)
     out = pii.find_spans(docs, ["doc_id", "quality", "odd.name"])
