@@ -40,7 +40,7 @@ def drop_boilerplate(docs: DataFrame, percent: int = 8, min_pages: int = 5, host
 
     A page counts once for a line however often it holds it. Lines are those between newlines; lines without a word stay.
     Each row is a page, repeated rows included. Null texts stay null with zero lines; rows with a null host are left as they are.
-    A page all of whose lines go keeps an empty text. Other columns pass through.
+    A page all of whose lines go keeps an empty text; a very long page is one row like others. Other columns pass through.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     host, text = F.col(host_col).cast("string"), F.col(text_col).cast("string")
@@ -57,7 +57,9 @@ def drop_boilerplate(docs: DataFrame, percent: int = 8, min_pages: int = 5, host
     drop = F.col("__drop")
 
     def rewrite(lines: Column) -> Column:
-        kept = F.filter(lines, lambda x: ~F.array_contains(drop, F.xxhash64(x)) | ~_worded(x))
+        # Which of its host's lines the page has is asked once, by hashing; each line is then looked up in those few.
+        own = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), drop)
+        kept = let(own, lambda o: F.filter(lines, lambda x: ~F.array_contains(o, F.xxhash64(x)) | ~_worded(x)))
         return let(kept, lambda k: F.struct(F.array_join(k, "\n").alias("text"), F.size(lines).cast("long").alias("n"), (F.size(lines) - F.size(k)).cast("long").alias("dropped")))
 
     whole = F.struct(text.alias("text"), F.size(_lines(text)).cast("long").alias("n"), F.lit(0).cast("long").alias("dropped"))
