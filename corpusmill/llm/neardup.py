@@ -9,7 +9,7 @@ Skew. Documents with equal shingle sets collapse into one class first. In each b
 bucket's least class (a star, not all pairs). After the components of those verified links are known, only classes of one
 bucket that still lie in different components are compared: pair by pair in buckets of at most SMALL classes, so that a class
 has a bounded number of pairs a bucket; in larger buckets, put together by the component that has most of their classes, in
-blocks of BLOCK classes by BLOCK, which count common shingles by matrix products and return links only, a spanning forest of
+blocks of about BLOCK classes by BLOCK (fewer of long texts: about BLOCK_SHINGLES shingles a side), which count common shingles by matrix products and return links only, a spanning forest of
 them at most. Every link is confirmed on full shingle sets.
 """
 
@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64, slices
+from .common import Scratch, as_id, mix64, slices
 
 BANDS, ROWS, UNIVERSE_BITS, SEED = 32, 4, 20, 1
-SMALL, BLOCK = 32, 128
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 128, 1 << 20
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
                 ["id", "n_shingles", "h1", "h2", "keys"],
             )
 
-    return docs.mapInArrow(run, "id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return docs.mapInArrow(run, f"id {_kind(docs)}, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
 def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -95,7 +95,12 @@ def _shingle_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for batch in (b for whole in batches for b in slices(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, width).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["id", "shingles"])
 
-    return docs.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(sets, "id long, shingles binary")
+    return docs.join(ids, "id", "left_semi").mapInArrow(sets, f"id {_kind(docs)}, shingles binary")
+
+
+def _kind(df: DataFrame, name: str = "id") -> str:
+    """The SQL type of an id column, long or string."""
+    return "string" if df.schema[name].dataType.simpleString() == "string" else "long"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -112,7 +117,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     both = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
-    return both.mapInArrow(confirm, "x long, y long")
+    return both.mapInArrow(confirm, f"x {_kind(pairs, 'x')}, y {_kind(pairs, 'x')}")
 
 
 def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
@@ -152,18 +157,21 @@ def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
 
 
 def _across_blocks(named: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (x, y) between classes of different components that share a large bucket. named: (key, rep, label), mixed large buckets only."""
+    """Links (x, y) between classes of different components that share a large bucket. named: (key, rep, n, label), mixed large buckets only."""
+    kind = _kind(named, "rep")
+    id_type = pa.string() if kind == "string" else pa.int64()
 
     def link(table):
         found = _block_links(table.to_pylist(), percent)
-        return pa.table([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["x", "y"])
+        return pa.table([pa.array([p[k] for p in found], id_type) for k in (0, 1)], ["x", "y"])
 
     counts = named.groupBy("key", "label").count()
     # Tables, not aggregates, on both sides of a join: Spark then splits a key that has most rows.
     most = scratch.keep(counts.groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("dom")))
-    rows = named.join(most, "key").groupBy("dom", "rep").agg(F.any_value("label").alias("label"))
+    rows = named.join(most, "key").groupBy("dom", "rep").agg(F.any_value("label").alias("label"), F.any_value("n").alias("n"))
     rows = scratch.keep(rows.withColumn("own", F.col("dom") == F.col("label")))
-    blocks = rows.groupBy("dom").agg(*[F.ceil(F.count_if(x) / BLOCK).cast("int").alias(n) for n, x in (("na", F.col("own")), ("no", ~F.col("own")))])
+    parts = lambda x: F.ceil(F.greatest(F.count_if(x) / BLOCK, F.coalesce(F.sum(F.when(x, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES)).cast("int")
+    blocks = rows.groupBy("dom").agg(*[parts(x).alias(name) for name, x in (("na", F.col("own")), ("no", ~F.col("own")))])
     rows = rows.join(scratch.keep(blocks), "dom").where("no > 0").withColumn("i", F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("na")).otherwise(F.col("no"))).cast("int"))
     spot = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("bi"), j.alias("bj"), left.alias("left"), right.alias("right"))
     yes, no, i = F.lit(True), F.lit(False), F.col("i")
@@ -172,7 +180,7 @@ def _across_blocks(named: DataFrame, sets: DataFrame, percent: int, scratch: Scr
     of_other = F.concat(F.transform(upto("na"), lambda j: spot(0, i, j, yes, no)), F.transform(upto("no"), lambda j: spot(1, F.least(i, j), F.greatest(i, j), i <= j, j <= i)))
     spread = rows.select("dom", "rep", "label", F.explode(F.when(F.col("own"), of_own).otherwise(of_other)).alias("at")).select("dom", "rep", "label", "at.*")
     full = spread.join(sets.withColumnRenamed("id", "rep"), "rep")
-    return full.groupBy("dom", "kind", "bi", "bj").applyInArrow(link, "x long, y long")
+    return full.groupBy("dom", "kind", "bi", "bj").applyInArrow(link, f"x {kind}, y {kind}")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -202,11 +210,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     Documents whose shingle sets have 100 * intersection >= percent * union are linked; component_id is the least id
     reachable, kept says whether it is the row's own. Null, empty and blank texts have no shingles and link with nothing.
     Rows that share an id stand for one document with all their texts. A null id has a null component and is kept.
-    Other columns are not read; an empty table gives an empty result.
+    Ids are integers or strings. A very long text is one set of shingles, compared whole. Other columns are not read; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    scratch = Scratch(docs.sparkSession, "neardup")
+    docs = docs.select(as_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     signed = scratch.keep(signatures(docs, width))
     real = signed.where("n_shingles > 0 and id is not null")
     classes = scratch.keep(real.groupBy("h1", "h2", "n_shingles").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("keys").alias("keys")))

@@ -30,11 +30,12 @@ def edited(rng, words, share):
     return " ".join(f"x{rng.random()}" if rng.random() < share else w for w in words)
 
 
-@pytest.mark.parametrize("small,block", [(32, 128), (2, 3)])
-def test_large_groups_lose_no_link(spark, monkeypatch, small, block):
+@pytest.mark.parametrize("small,block,shingles", [(32, 128, 1 << 20), (2, 3, 1 << 20), (2, 128, 900)])
+def test_large_groups_lose_no_link(spark, monkeypatch, small, block, shingles):
     """A group whose members differ by 0 to 15 % of their words: many links that no star sees."""
     monkeypatch.setattr(neardup, "SMALL", small)
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
     rng = random.Random(11)
     base = [f"b{k}" for k in range(120)]
     rows = [(k, edited(rng, base, rng.choice([0.0, 0.02, 0.04, 0.05, 0.08]))) for k in range(120)]
@@ -46,6 +47,16 @@ def test_large_groups_lose_no_link(spark, monkeypatch, small, block):
     assert got == want and len(set(want.values())) > 25
 
 
+def test_string_ids(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    rng = random.Random(3)
+    base = [f"b{k}" for k in range(100)]
+    rows = [(f"file/{k:03d}", edited(rng, base, rng.choice([0.0, 0.03, 0.05]))) for k in range(60)] + [("z", ""), (None, "a b c")]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), width=2).collect()}
+    want = components(sets_of(rows[:-1], 2))
+    assert {k: v for k, v in got.items() if k} == want and got[None] is None
+
+
 def test_chain_of_links_is_one_component(spark):
     words = [f"w{k}" for k in range(400)]
     rows = [(50 - k, " ".join(words[k * 5 : k * 5 + 100])) for k in range(50)]
