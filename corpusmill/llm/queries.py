@@ -49,7 +49,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = chat.conversations(table(spark, sf_dir, "conversations"))
     told = lambda name: F.array_join(F.transform(name, lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",").alias(name)
-    return chat.preference_pairs(chat.contrast_pairs(convs)).select("conv_id", "prefix_turns", "prompt", "chosen_text", "rejected_text", told("chosen_mask"), told("rejected_mask"))
+    return chat.preference_pairs(chat.contrast_pairs(convs)).select("conv_id", "usable", "prefix_turns", "prompt", "chosen_text", "rejected_text", told("chosen_mask"), told("rejected_mask"))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

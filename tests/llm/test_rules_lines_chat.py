@@ -109,6 +109,27 @@ def test_conversations_tables(spark):
     convs = chat.conversations(turns)
     got = {r.conv_id: [tuple(t) for t in r.turns] for r in convs.collect()}
     assert got == {1: [("user", "a"), ("assistant", "b"), ("assistant", "")], 2: [("", "")], 3: [("user", "q")]}
-    pairs = {r.conv_id: ([t.text for t in r.chosen], [t.text for t in r.rejected]) for r in chat.contrast_pairs(convs).collect()}
-    assert pairs == {1: (["a", "b", ""], ["a", "b", "b"]), 2: ([""], [""]), 3: (["q"], ["q"])}
+    pairs = {r.conv_id: ([t.text for t in r.chosen], [t.text for t in r.rejected], r.usable) for r in chat.contrast_pairs(convs).collect()}
+    assert pairs == {1: (["a", "b", ""], ["a", "b", ""], False), 2: ([""], [""], False), 3: (["q"], ["q"], False)}
     assert chat.preference_pairs(chat.contrast_pairs(chat.conversations(turns.where(F.lit(False))))).count() == 0
+
+
+def test_contrast_pairs_take_another_conversations_answer(spark):
+    rows = [(k, i, "assistant" if i % 2 else "user", f"{k if k % 3 else 'same'}-{i}") for k in range(60) for i in range(1 + k % 5)]
+    convs = chat.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    answers = {r.conv_id: [t.text for t in r.turns if t.role == "assistant"][-1:] for r in convs.collect()}
+    got = chat.preference_pairs(chat.contrast_pairs(convs)).collect()
+    assert len(got) == 60 and all(r.usable == bool(answers[r.conv_id]) for r in got)
+    for r in got:
+        if r.usable:
+            at = max(i for i, t in enumerate(r.chosen) if t.role == "assistant")
+            assert r.prefix_turns == at and [r.rejected[at].text] in answers.values() and r.rejected[at].text != r.chosen[at].text and r.chosen_mask and r.rejected_mask
+
+
+def test_long_conversations_and_clashing_names(spark):
+    n = 20_000
+    turns = [{"role": "assistant" if k % 2 else "user", "text": f"t{k}"} for k in range(n)]
+    docs = spark.createDataFrame([(1, turns, [*turns[:-1], {"role": "assistant", "text": "x"}], "p", "q"), (2, [], turns, "p", "q")], f"id long, chosen {chat.TURNS}, rejected {chat.TURNS}, prompt string, `odd.name` string")
+    out = {r.id: r for r in chat.preference_pairs(docs).collect()}
+    assert out[1].prefix_turns == n - 1 and out[1].chosen_text == f"<|assistant|>\nt{n - 1}<|end|>\n" and out[1].prompt.startswith("<|user|>") and out[1]["odd.name"] == "q"
+    assert [out[2].rejected_text[s.start : s.end] for s in out[2].rejected_mask] == [f"{t['text']}<|end|>" for t in turns[1::2]]
