@@ -26,12 +26,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays, once if its rows repeat."""
+    """Of each group of near duplicates the document with the least id stays. Rows of one id are one document: its different texts stay or go together, in one row each;
+    of rows that repeat id and text the one stays that is least by its other columns."""
     found = neardup.near_duplicates(docs, width=5, percent=80)
     gone = found.where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*quoted(docs.columns))
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null")) if repeated else kept
+    # Ids alone are counted; where none repeats, what is joined below is empty, and Spark drops the join when it sees that.
+    twice = Scratch(spark, "repeated").keep(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    kept = docs.join(gone, "doc_id", "left_anti").select(*quoted(docs.columns))
+    rest = [name for name in docs.columns if name not in ("doc_id", "text")]
+    firsts = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*quoted(rest))).alias("rest") if rest else F.lit(None).alias("rest"))
+    once = firsts.select("doc_id", "text", *[F.col("rest")[name].alias(name) for name in rest]).select(*quoted(docs.columns))
+    return kept.join(twice, "doc_id", "left_anti").select(*quoted(docs.columns)).union(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Near-duplicate components and byte-level BPE have no SQL; tests hold the pipeline against a brute-force version.
+#: Near-duplicate components, edit distances in texts and byte-level BPE have no SQL: tests/llm/test_pipeline.py holds run() and each stage against a brute-force version.
 ORACLE_SQL = None
 
 
