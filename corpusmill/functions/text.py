@@ -85,7 +85,8 @@ def split_indic_words(text: Column) -> Column:
 
 
 def ends_sentence(line: Column) -> Column:
-    return rstrip(line).rlike(rf"[{terminal_class()}]\z")
+    # Of the last character alone, so that the class isn't tried at every other.
+    return F.right(rstrip(line), F.lit(1)).rlike(f"[{terminal_class()}]")
 
 
 def simplify_text(text: Column) -> Column:

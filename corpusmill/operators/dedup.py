@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cache
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -11,10 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from ..functions import text as T
-from ..functions.text import hash64
 from .durable import keep
 
-PRIME = (1 << 61) - 1
+PRIME, FACTOR = (1 << 61) - 1, 0x9E3779B97F4A7C15
 
 
 def exact_firsts(docs: DataFrame, key: Column, order: str) -> DataFrame:
@@ -49,15 +49,33 @@ def similarity_threshold(buckets: int = 14, rows: int = 8) -> float:
     return buckets ** (-1 / rows)
 
 
-def signature_of(words: list[str], n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
-    """The least of (h * a + b mod 2**64) mod PRIME over n-word shingles, for each (a, b); None if there are fewer words."""
+def word_hash(word: str) -> int:
+    """The first 64 bits of the word's MD5."""
+    return int.from_bytes(md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()[:8], "big")
+
+
+def powers(n: int) -> list[int]:
+    """Factors of the hashes of a shingle's words, first word first."""
+    return [pow(FACTOR, n - 1 - k, 1 << 64) for k in range(n)]
+
+
+def signature_of(words: list[str], n: int, a: np.ndarray, b: np.ndarray, known: dict[str, int] | None = None) -> np.ndarray | None:
+    """The least of (h * a + b mod 2**64) mod PRIME over n-word shingles, for each (a, b); None if there are fewer words. h is the sum of the words' hashes times powers of FACTOR,
+    mod 2**64. `known` keeps hashes of words from text to text."""
     if len(words) < n:
         return None
-    h = np.fromiter((hash64(" ".join(words[k : k + n])) for k in range(len(words) - n + 1)), np.uint64, len(words) - n + 1)
-    out = np.full(len(a), PRIME, np.uint64)
+    known = {} if known is None else known
+    for w in set(words).difference(known):
+        known[w] = word_hash(w)
+    of_words = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    size = len(words) - n + 1
+    out, low = np.full(len(a), PRIME, np.uint64), np.uint64(PRIME)
     with np.errstate(over="ignore"):
-        for k in range(0, len(h), 1024):
-            out = np.minimum(out, ((h[k : k + 1024, None] * a + b) % np.uint64(PRIME)).min(axis=0))
+        h = np.unique(sum((of_words[k : k + size] * np.uint64(p) for k, p in enumerate(powers(n))), np.zeros(size, np.uint64)))
+        for k in range(0, len(h), 512):
+            x = h[k : k + 512, None] * a + b
+            x = (x & low) + (x >> np.uint64(61))  # the remainder of a Mersenne prime, but for one subtraction
+            out = np.minimum(out, np.where(x >= low, x - low, x).min(axis=0))
     return out
 
 
@@ -67,7 +85,8 @@ def signature(text: Column, n: int = 5, buckets: int = 14, rows: int = 8, seed:
 
     @F.pandas_udf("array<long>")
     def sign(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or (s := signature_of(t.split(), n, a, b)) is None else s.astype(np.int64) for t in texts], dtype=object)
+        known: dict[str, int] = {}
+        return pd.Series([None if t is None or (s := signature_of(t.split(), n, a, b, known)) is None else s.astype(np.int64) for t in texts], dtype=object)
 
     return sign(T.simplify_text(text))
 

@@ -12,9 +12,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir, or a folder of our own where that is unset and all of Spark is one process."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         held = tempfile.TemporaryDirectory(prefix="corpusmill-", ignore_cleanup_errors=True)
         atexit.register(held.cleanup)

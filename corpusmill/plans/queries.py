@@ -258,18 +258,33 @@ def exact_dedup_removed(spark, sf):
     return dedup.exact_dedup(_table(spark, sf, "documents"))[1].select("doc_id")
 
 
-@query()
+_WIDTH, _BANDS, _ROWS = 5, 14, 8
+_A, _B = ([int(x) for x in xs] for xs in dedup.constants(_BANDS * _ROWS, 1))
+_low = lambda x: f"(({x}) & 18446744073709551615::uhugeint)"
+_shingle = " + ".join(_low(f"h[i + {k}]::uhugeint * {p}::uhugeint") for k, p in enumerate(dedup.powers(_WIDTH)))
+_MINHASH = f"""
+    with recursive w as (select doc_id, list_transform(string_split({_simple("text")}, ' '), lambda x: ('0x' || substr(md5(x), 1, 16))::ubigint) as h from documents),
+    s as (select distinct doc_id, {_low(_shingle)} as s from (select doc_id, h, unnest(range(1, len(h) - {_WIDTH - 2})) as i from w where len(h) >= {_WIDTH})),
+    f as (select unnest(range(0, {len(_A)})) as j, unnest({_A}) as a, unnest({_B}) as b),
+    x as (select doc_id, j, {_low("s * a::uhugeint + b::uhugeint")}::ubigint as x from s, f),
+    m as (select doc_id, j, min(x % {dedup.PRIME}) as v from x group by doc_id, j),
+    k as (select doc_id, j // {_ROWS} as band, string_agg(v::varchar, ',' order by j) as key from m group by doc_id, band),
+    e as (select distinct doc_id as x, least as y from (select doc_id, min(doc_id) over (partition by band, key) as least from k) where doc_id <> least)"""
+
+
+@query(_MINHASH + " select doc_id, string_agg(v::varchar, ',' order by j) as signature from documents left join m using (doc_id) group by doc_id")
 def minhash_signature(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", dedup.signature(_text()).alias("signature")).select("doc_id", F.array_join(F.col("signature").cast("array<string>"), ",").alias("signature"))
 
 
-@query()
+@query(_MINHASH + " select x, y from e")
 def minhash_pairs(spark, sf):
     signed = keep(_table(spark, sf, "documents").select("doc_id", dedup.signature(_text()).alias("signature")))
     return dedup.star_edges(signed, "doc_id", "signature")
 
 
-@query()
+@query(_MINHASH + """, b as (select x, y from e union all select y, x from e), g as (select x, y from b union select g.x, b.y from g join b on g.y = b.x)
+    select doc_id from documents where doc_id not in (select x from g where y < x)""")
 def minhash_dedup(spark, sf):
     return dedup.minhash_dedup(_table(spark, sf, "documents"))[0].select("doc_id")
 
@@ -364,7 +379,7 @@ def quality_classifier(spark, sf):
 
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     labelled = docs.join(_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
-    return apply_model(docs, train_classifier(labelled, bits=14, steps=10), "score").select("doc_id", "score")
+    return apply_model(docs, train_classifier(labelled), "score").select("doc_id", "score")
 
 
 _FUNNEL = ["length", "gopher quality", "repeated lines"]
@@ -485,7 +500,8 @@ def flagship(spark, sf):
     """Quality and repetition rules, exact dedup, decontamination against the benchmark."""
     docs = _table(spark, sf, "documents")
     good = apply_steps(docs, [Step("gopher quality", lambda _: filters.gopher_quality(_text())), Step("repetition", lambda _: filters.repetition_lines(_text()))]).where("drop_step is null")
-    unique = dedup.exact_dedup(good.select("doc_id", "text"))[0]
+    # A table: exact_dedup reads its input twice, and the rules are dearer than a reading.
+    unique = dedup.exact_dedup(keep(good.select("doc_id", "text")))[0]
     bad = _leaky(docs, _table(spark, sf, "benchmark"), 10)
     return unique.join(bad, "doc_id", "left_anti").select("doc_id", "text")
 
