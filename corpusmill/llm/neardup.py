@@ -244,3 +244,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     same = (rows.h1 == told.h1) & (rows.h2 == told.h2) & (rows.n_shingles == told.n) & rows.id.isNotNull()
     out = rows.join(told, same, "left").select("id", "n_shingles", F.coalesce("label", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of op9's rows. Sets at 80 % share one of their rarest shingles (as many of each as may be missing, and one); closure of the links gives components."""
+    return r"""
+    with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as w from documents),
+    s as (select distinct doc_id, case when len(w) = 1 then w[1] else w[i] || ' ' || w[i + 1] end as s from (select doc_id, w, unnest(range(1, greatest(len(w), 2))) as i from w where len(w) > 0)),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    r as (select doc_id, s, n, row_number() over (partition by doc_id order by c, s) as r from s join n using (doc_id) join (select s, count(*) as c from s group by s) using (s)),
+    p as (select doc_id, s, n from r where r <= n - (80 * n + 99) // 100 + 1),
+    c as (select distinct a.doc_id as x, b.doc_id as y, a.n as nx, b.n as ny from p a join p b on a.s = b.s and a.doc_id < b.doc_id where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+    l as (select x, y from c join s a on a.doc_id = x join s b on b.doc_id = y and a.s = b.s group by x, y, nx, ny having 100 * count(*) >= 80 * (nx + ny - count(*))),
+    e as (select x, y from l union all select y, x from l),
+    g as (select x, y from e union select g.x, e.y from g join e on g.y = e.x),
+    m as (select x, min(y) as y from g group by x)
+    select doc_id, coalesce(n, 0) as n_shingles, least(doc_id, coalesce(y, doc_id)) as component_id, doc_id <= coalesce(y, doc_id) as kept from w left join n using (doc_id) left join m on x = doc_id
+    """

@@ -81,4 +81,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.oracle_sql(), "op5_chat_formatting": chat.oracle_sql(), "op8_line_dedup": linededup.oracle_sql()}
+    return {"op1_quality_rules": quality.oracle_sql(), "op5_chat_formatting": chat.oracle_sql(), "op8_line_dedup": linededup.oracle_sql(), "op9_minhash_neardup": neardup.oracle_sql()}
