@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CACHED_WORDS = 300_000
+CACHED_BYTES = 64 << 20  # of the cached words (UTF-8) and their ids; text without spaces makes words of any length
+ENCODED_BYTES = 1 << 20  # of UTF-8 given to the library at once: what it returns takes some hundred bytes a token
 BARE = "\x01"
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")  # letters in every Unicode version
 _SPACE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
@@ -41,6 +43,8 @@ class Encoder:
         # Words are encoded in lines of many, where an added token with white space could arise.
         self.by_word = self.by_word and not any(re.search(r"\s", x) for x in added)
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}  # the cache's older half; what is found there moves to `words`
+        self.held = 0
 
         if self.by_word:
             self.letters = self.for_letters(path)
@@ -62,7 +66,12 @@ class Encoder:
         return t
 
     def plain(self, texts: list[str], tokenizer=None) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+        out, ends = [], np.cumsum([len(x.encode()) for x in texts])
+        while len(out) < len(texts):
+            k = len(out)
+            n = max(1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + ENCODED_BYTES, "right")) - k)
+            out += [np.array(e.ids, self.dtype).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts[k : k + n], add_special_tokens=False)]
+        return out
 
     def in_lines(self, words: list[str], tokenizer, by: str = " ") -> None:
         """Caches words without white space; they go through the tokenizer in long lines, and the token that begins with `by` tells them apart."""
@@ -112,13 +121,15 @@ class Encoder:
         coded = parts.flatten().dictionary_encode()
         place = np.asarray(coded.indices)
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
+        if len(self.words) > CACHED_WORDS // 2 or self.held > CACHED_BYTES // 2:
+            self.before, self.words, self.held = self.words, {}, 0
         values = list(map(self.words.get, words))
         if new := [k for k, v in enumerate(values) if v is None]:
-            self.learn([words[k] for k in new])
+            self.words.update((words[k], v) for k in new if (v := self.before.get(words[k])) is not None)
+            self.learn([words[k] for k in new if words[k] not in self.words])
             for k in new:
                 values[k] = self.words[words[k]]
+            self.held += pc.sum(pc.binary_length(coded.dictionary.take(pa.array(new)))).as_py() + sum(len(values[k]) for k in new)
         size = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
         pool, begin = np.frombuffer(b"".join(values), self.dtype), np.cumsum(size) - size
         length = size[place]

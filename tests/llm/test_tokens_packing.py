@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusmill.llm import packing, tokenfiles
+from corpusmill.llm import packing, tokenfiles, tokens
 from corpusmill.llm.queries import op3_token_files, op4_packing, tokenizer_path
 from corpusmill.llm.tokens import Encoder
 
@@ -47,6 +47,25 @@ def test_added_tokens_are_as_the_library_has_them(spark, encode, tmp_path):
     check_packed(packing.pack(docs, tokenizer_path(), 0).collect(), {i: np.array([*x, 0], "<u4") for i, x in enumerate(want)})
 
 
+def test_texts_without_spaces_take_bounded_memory(monkeypatch):
+    """Each such text is one word: the cache is bounded by bytes as well as by words, and what the library encodes at once."""
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 1 << 18, raising=False)
+    own, r, given = Encoder(tokenizer_path()), random.Random(3), []
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            given.append(sum(len(x.encode()) for x in texts))
+            return own.tokenizer.encode_batch_fast(texts, **options)
+
+    for _ in range(6):
+        texts = ["".join(map(chr, r.choices(range(0x4E00, 0x9000), k=500))) for _ in range(100)]
+        assert [x.tolist() for x in own(pa.array(texts))] == plain(own, texts)
+        assert sum(len(w.encode()) + len(ids) for held in (own.words, getattr(own, "before", {})) for w, ids in held.items()) < 1 << 20  # the bound, and a batch for each half
+    many = ["Spaceless" * 10_000, "", *["ab" * 20_000] * 30, "last"]
+    assert [np.frombuffer(x, own.dtype).tolist() for x in own.plain(many, Library())] == plain(own, many)
+    assert max(given) <= 1 << 20 and sum(given) == sum(map(len, many)) and own.plain([]) == []
+
+
 @pytest.mark.parametrize("ids", [[], [7], [1] * 300, list(range(70_000)), [3, 3, 2, 2, 9]])
 def test_block_code_round_trip(ids):
     a = np.array(ids, np.uint32)
