@@ -43,6 +43,41 @@ def test_ngram_measures():
     assert filters.repeated_ngrams("a b c a b c a b c".split(), 3) == 6 and filters.repeated_ngrams("a b".split(), 3) == 0
 
 
+def test_numbered_ngrams_equal_plain_scans(monkeypatch):
+    """Documents that lie in one slice, share words, are empty, null or longer than a slice."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    docs = [[rng.choice(["a", "bb", "ccc", "é", "’"][: rng.randint(1, 5)]) for _ in range(rng.choice([0, 1, 3, 9, 40, 150]))] for _ in range(150)] + [None, "x y z w v u t s r q".split() * 3]
+    top, repeated = {2: 0.2, 3: 0.18, 4: 0.16}, {5: 0.4, 7: 0.1, 6: 0.05, 10: 0.02}
+    sizes = [3 * len(w or ()) + 1 for w in docs]
+
+    def reason(w, chars):
+        for n, most in top.items():
+            if filters.top_ngram(w, n) / chars > most:
+                return f"top_{n}_gram"
+        for n, most in repeated.items():
+            if filters.repeated_ngrams(w, n) / chars > most:
+                return f"duplicated_{n}_n_grams"
+
+    want = [None if w is None else reason(w, c) for w, c in zip(docs, sizes, strict=True)]
+    assert len(set(want)) > 4
+    for size in (1, 60, 10**6):
+        monkeypatch.setattr(filters, "SLICE", size)
+        words = pa.array([["other"], *docs], pa.list_(pa.string()))[1:]
+        assert filters._ngram_reasons(words, np.array(sizes), top, repeated) == want
+        for n in (2, 3, 4):
+            got = []
+            for _, grams in filters._slices(words):
+                while grams.n < n:
+                    grams.widen()
+                got += grams.top().tolist()
+            assert got == [filters.top_ngram(w or [], n) for w in docs]
+
+
 def test_fineweb(spark):
     long = "This line has certainly more than thirty characters"
     cases = {"\n \n": "empty", "\n".join([long] * 9): "line_punct_ratio", "Short.\nLines.\nHere.": "short_line_ratio", f"{long}.\n{long}.\nAnd then there is one that differs from them.": "char_dup_ratio", GOOD: None, "a1234567890123456789012345678901.\n" + "\n" * 9: "list_ratio", "यह एक बहुत लंबा वाक्य है जो यहाँ समाप्त होता है।": None}

@@ -125,6 +125,23 @@ def test_registered_query(spark, sf, name):
     assert shape(rows) == shape(want)
 
 
+def test_top_ngrams_stay_in_place_but_for_repeated_ids(spark, tmp_path):
+    """No n-gram of a document with an id of its own is shuffled; rows of one id, null included, are one document."""
+    texts = [(1, "a b a b c d"), (2, "x y"), (2, "q x y x y"), (None, "k l m k l"), (None, "k l"), (3, "one"), (4, None), (5, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    frame = queries.QUERIES["gopher_repetition_top_ngram"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"select doc_id, n, chars from ({queries.SQL['gopher_repetition_top_ngram']})").fetchall()
+    assert sorted(tuple(map(canonical, r)) for r in frame.select("doc_id", "n", "chars").collect()) == sorted(tuple(map(canonical, r)) for r in want)
+    alone = tmp_path / "alone"
+    spark.createDataFrame([t for t in texts if t[0] in (1, 3, 4, 5)], "doc_id long, text string").write.parquet(str(alone / "documents.parquet"))
+    frame = queries.QUERIES["gopher_repetition_top_ngram"](spark, str(alone))
+    assert sorted((r.n, r.chars) for r in frame.collect()) == [(2, 6), (3, 5), (4, 7)]
+    final = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" not in final and "ShuffleQueryStage" not in final
+
+
 def test_repetition_query_equals_plain_python(spark, sf):
     import regex
 
