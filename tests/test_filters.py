@@ -132,6 +132,25 @@ def test_chain_and_funnel(spark):
     assert funnel(apply_steps(docs.where("false"), steps), ["first"]).where("value <> 0").count() == 0
 
 
+def test_funnel_reads_the_documents_once(spark, tmp_path):
+    spark.createDataFrame([(1, "keep me"), (2, "bad")], "id int, text string").write.parquet(str(tmp_path / "docs"))
+    verdicts = apply_steps(spark.read.parquet(str(tmp_path / "docs")), [Step("first", lambda d: F.when(F.col("text") == "bad", "is_bad"))])
+    rows = funnel(verdicts, ["first"])
+    assert verdicts.inputFiles() and not set(verdicts.inputFiles()) & set(rows.inputFiles())  # what is left works on the counts
+    assert {(r.label, r.value) for r in rows.collect()} == {("total", 2), ("forwarded", 1), ("dropped", 1), ("dropped_is_bad", 1)}
+
+
+def test_rules_take_linear_time(spark):
+    """Long runs of white space within a line, and lines of one long word."""
+    import time
+
+    began = time.time()
+    gap = "This line ends" + " " * 200_000 + "here."
+    got = reasons(spark, lambda t: F.transform(filters.c4_lines(t), lambda x: F.struct(F.length(x["line"]), x["action"])), f"  {gap}\nxy\n{'x' * 300_000}", "a b.\n a b c.")
+    assert [[tuple(x) for x in r] for r in got] == [[(len(gap), "keep"), (2, "no_terminal_punct"), (300_000, "too_long_word")], [(4, "too_few_words"), (6, "keep")]]
+    assert reasons(spark, filters.repetition_lines, gap) == [None] and time.time() - began < 30
+
+
 def test_symbol_lines(spark):
     text = "a\n***\n---\n\nb\n»"
     assert reasons(spark, formatters.symbol_lines, text, "only") == ["a\n\nb", "only"]

@@ -63,3 +63,20 @@ def test_ngrams_counts_and_hosts(spark):
     assert tuple(got) == (["a bb c", "bb c d"], [], 2, "blog.example.com", "https://www.blog.example.com:8080")
     assert T.hash64("x") == T.hash64("x") < 2**64
     both(spark, ["One. Two? Three", "", "v1.2 is out", "Dr. who"], T.count_sentences, {"One. Two? Three": 3, "": 0, "v1.2 is out": 1, "Dr. who": 2}.get)
+
+
+def test_ends_and_first_characters_as_patterns_have_them(spark):
+    import regex
+
+    assert {chr(k) for k in range(0x110000) if chr(k).isspace()} == set(T.SPACES)
+    odd = ["", " ", "\u2003a b\x1f", "\x85\u3000", "a\u200b ", "Zz", "[a", "`a", "{", "@", "/", ":", "0", "9x", "é", "తె", "_a", "’n’"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "id int, t string").orderBy("id")
+    got = rows.select(T.strip(F.col("t")), T.lstrip(F.col("t")), T.rstrip(F.col("t")), T.blank(F.col("t")), T.begins_alnum(F.col("t")), T.begins_letter(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [(t.strip(), t.lstrip(), t.rstrip(), not t.strip(), bool(regex.match("[A-Za-z0-9]", t)), bool(regex.match("[A-Za-z]", t))) for t in odd]
+    texts = ["a\n\nb\r\nc\n", "a\x1cb\u2028", "\n", "", "x", "\r", "a\n\r"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string").orderBy("id")
+    assert [r[0] for r in rows.select(T.split_lines(F.col("t"))).collect()] == [t.splitlines() for t in texts]
+    mixed = ["a \t b", "a\tb", " a  b ", "a\u2003\u2003b c\n\nd", "a\x1cb  c"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(mixed)], "id int, t string").orderBy("id")
+    assert [r[0] for r in rows.select(T.simplify_text(F.col("t"))).collect()] == ["a b", "a b", "a b", "a b c d", "a\x1cb c"]
+    assert [r[0] for r in rows.select(T.simple_words(F.col("t"))).collect()] == [["a", "b"]] * 3 + [["a", "b", "c", "d"], ["a", "b", "c"]]
