@@ -47,6 +47,21 @@ def test_minhash_maths(spark):
     assert row.select(dedup.jaccard(F.col("a"), F.col("b")), dedup.estimated_similarity(F.col("a"), F.col("b"))).first()[:] == (0.5, 0.0)
 
 
+def test_signatures_equal_whole_numbers(spark, monkeypatch):
+    """The numbers are worked out in place, also where a remainder needs the last subtraction, and a worker forgets words without changing them."""
+    assert dedup.KNOWN <= 200_000
+    words = [f"w{k % 70}" for k in range(400)]
+    a, b = np.array([1, 5, dedup.PRIME - 2], np.uint64), np.array([0, 7, dedup.PRIME - 1], np.uint64)
+    shingles = [sum(dedup.word_hash(w) * p for w, p in zip(words[k : k + 5], dedup.powers(5), strict=True)) % 2**64 for k in range(396)]
+    # A multiplier of 0 leaves the offset: PRIME itself has the remainder 0.
+    a, b = np.append(a, np.uint64(0)), np.append(b, np.uint64(dedup.PRIME))
+    assert dedup.signature_of(words, 5, a, b).tolist() == [min((h * int(x) + int(y)) % 2**64 % dedup.PRIME for h in shingles) for x, y in zip(a, b, strict=True)]
+    docs = frame(spark, *[" ".join(f"{c}{k}" for k in range(30)) for c in "abc"], None, "too short")
+    want = [r.s for r in docs.coalesce(1).select(dedup.signature(F.col("text")).alias("s")).collect()]
+    monkeypatch.setattr(dedup, "KNOWN", 10)
+    assert [r.s for r in docs.coalesce(1).select(dedup.signature(F.col("text")).alias("s")).collect()] == want and want[3] is want[4] is None and len(want[0]) == 112
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(90, 80)], "x long, y long")
     assert {r.node: r.label for r in dedup.components(edges).collect()} == {k: 0 for k in range(41)} | {80: 80, 90: 80}
@@ -73,6 +88,25 @@ def test_decontamination(spark):
     assert decont.ngram_index(spark.createDataFrame([(1, "a b c " * 5)], "item_id long, text string")).count() == 3
 
 
+def test_only_marked_windows_leave_a_document(spark, monkeypatch):
+    """An n-gram goes to the join if the index has its bucket, whatever slice it lies in; positions and hashes don't depend on slices."""
+    prose = " ".join(f"word{k}" for k in range(2000))
+    docs = frame(spark, prose, f"{prose} {QUESTION} {prose}", "", None, QUESTION, "a b").coalesce(1)
+    known = decont._hashed(decont.ngram_index(spark.createDataFrame([(0, QUESTION)], "item_id long, text string"), 13), 13)
+    size = len(QUESTION.split()) - 12
+
+    def windows(marks):
+        rows = docs.select(decont._windows(decont.T.simple_words(F.col("text")), 13, marks).alias("w")).collect()
+        return [[(x.pos, x.h) for x in r.w] for r in rows]
+
+    every, marked = windows(None), windows(decont._marks(known))
+    assert [len(w) for w in every] == [1988, 4000 + size, 0, 0, size, 0] and [len(w) for w in marked][2:] == [0, 0, size, 0]
+    assert [x for x in marked[1] if 2000 <= x[0] < 2000 + size] == [(2000 + p, h) for p, h in marked[4]] and {r["__h"] for r in known.collect()} == {h for _, h in marked[4]}
+    assert len(marked[0]) < 9 and len(marked[1]) < size + 9 and set(marked[1]) <= set(every[1])
+    monkeypatch.setattr(decont, "SLICE", 1)
+    assert windows(None) == every
+
+
 def test_holdout(spark):
     docs = frame(spark, *[f"text {k}" for k in range(1000)], None)
     kept, held = split.holdout_split(docs, 0.2)
