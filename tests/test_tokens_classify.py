@@ -82,3 +82,24 @@ def test_training_inputs(spark):
     ]
     frame = spark.createDataFrame(data, "at int, q_id string, title string, selftext string, subreddit string, answers struct<score:array<int>,text:array<string>>")
     assert {r.q_id: r.text for r in C.best_answers(frame).collect()} == {"q1": "Why?\nlonger", "q5": "T\nS\na"}
+
+
+def test_the_tokenizer_gets_bounded_bytes():
+    """What the library returns takes some hundred bytes a token, so that many long texts at once are no bound."""
+    import pyarrow as pa
+
+    class Seen:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            sizes.append((len(texts), sum(len(x.encode()) for x in texts)))
+            return texts
+
+    sizes: list[tuple[int, int]] = []
+    texts = ["é" * 200_000] * 9 + [None, "x" * 3_000_000, ""] + ["a"] * 1000
+    assert [x for some in K.encoded(Seen(), pa.array(texts)) for x in some] == [x or "" for x in texts]
+    assert all(n <= 512 and (n == 1 or size <= K.ENCODED_BYTES) for n, size in sizes) and len(sizes) < 12
+
+
+def test_token_counts_are_the_sizes_of_tokens(spark, sf):
+    docs = spark.createDataFrame([("one two",), (None,), ("",), ("ü 日本" * 50,)], "text string").unionByName(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
+    rows = docs.select(K.token_counts(F.col("text"), PATH).alias("n"), F.size(K.tokenize(F.col("text"), PATH)).alias("m")).collect()
+    assert len(rows) > 100 and all(r.n == r.m for r in rows) and [r.n for r in rows[1:3]] == [1, 1]
